@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from tracklane.llm.merkle import op1_fingerprints
 from tracklane.llm.mixing import op9_mixing
 from tracklane.llm.packing import op7_packing
+from tracklane.llm.quality_classifier import op5_quality_classifier
 from tracklane.llm.quality_rules import op6_quality_rules
 from tracklane.llm.secret_scan import op10_secret_scan
 from tracklane.llm.sharding import op4_sharding
+from tracklane.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_toxicity": op2_toxicity,
     "op4_sharding": op4_sharding,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
