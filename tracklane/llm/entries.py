@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracklane.llm.jaccard_join import op8_jaccard_join
 from tracklane.llm.merkle import op1_fingerprints
 from tracklane.llm.mixing import op9_mixing
 from tracklane.llm.packing import op7_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
 }
