@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tracklane.llm.jaccard_join import op8_jaccard_join
+from tracklane.llm.language_model import op3_language_model
 from tracklane.llm.merkle import op1_fingerprints
 from tracklane.llm.mixing import op9_mixing
 from tracklane.llm.packing import op7_packing
@@ -15,6 +17,7 @@ from tracklane.llm.toxicity import op2_toxicity
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_toxicity": op2_toxicity,
+    "op3_language_model": op3_language_model,
     "op4_sharding": op4_sharding,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
@@ -22,5 +25,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {**({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})}

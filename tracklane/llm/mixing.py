@@ -103,43 +103,63 @@ def route(capacity: dict[tuple, int], target: dict[str | None, float], most: int
     return {p: {s: e[1] for s, e in x.items()} for p, x in sent.items()}
 
 
-def mix(docs: DataFrame, size: F.Column, members: F.Column, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
-    """One row per row of ``docs``: id, size, members, and ``taken``, the tokens that the mix takes of it.
+def sized(docs: DataFrame, size: F.Column, members: F.Column, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
+    """``docs`` with ``mix_size``, ``mix_members`` (sorted, without repeats) and ``mix_order``, a seeded hash of the id."""
+    ordered = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    return docs.withColumns({"mix_size": F.coalesce(size, F.lit(0)).cast("long"), "mix_members": F.array_sort(F.array_distinct(members)), "mix_order": ordered})
+
 
-    ``members`` is an array of sources; a null in it is a source of its own. Documents are taken whole, 0 to ``most``
-    times; a pattern's sum misses the routed amount by half a document at most. Ids may be null or repeat; rows that
-    are alike in every respect can differ in ``taken``. No rows give no rows. Same input, same seed: same result.
+def quotas(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2) -> tuple[DataFrame, dict, dict]:
+    """For the rows of ``sized``: what the mix takes of each pattern, the sizes of the sources, and their targets.
+
+    A row per pattern: whole passes over its documents, and how far the seeded order is followed once more: before
+    ``mix_cut``, and up to ``mix_last`` (order and size) after it. A document at the end is in if its middle is.
     """
-    named = F.array_sort(F.array_distinct(members))
-    rows = stored(docs.select(F.col(id_col).alias("id"), F.coalesce(size, F.lit(0)).cast("long").alias("size"), named.alias("members"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("order")), "mix")
-    found = rows.groupBy("members").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
+    found = rows.groupBy("mix_members").agg(F.sum("mix_size").alias("n")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
-    capacity = {tuple(r["members"]): r["size"] for r in found}
+    capacity = {tuple(r["mix_members"]): r["n"] for r in found}
     sizes: dict[str | None, int] = {}
     for p, n in capacity.items():
         for s in p:
             sizes[s] = sizes.get(s, 0) + n
     target = targets(sizes, weights, share, most)
-    flow = route(capacity, target, most)
-    plan = [(list(p), sum(flow[p].values()) // n if n else 0, sum(flow[p].values()) % n if n else 0) for p, n in capacity.items()]
-    spark = docs.sparkSession
-    quota = spark.createDataFrame(plan, "members array<string>, passes long, rest long")
+    flow = {p: sum(x.values()) for p, x in route(capacity, target, most).items()}
+    plan = [(list(p), flow[p] // n if n else 0, flow[p] % n if n else 0) for p, n in capacity.items()]
+    quota = rows.sparkSession.createDataFrame(plan, "mix_members array<string>, passes long, rest long")
 
     # Radix descent: sums of buckets of the hash show in which bucket the cut of each pattern falls
-    buckets = rows.groupBy("members", F.substring("order", 1, DIGITS).alias("bucket")).agg(F.sum("size").alias("bytes"))
-    running = F.sum("bytes").over(Window.partitionBy("members").orderBy("bucket"))
-    cuts = buckets.withColumn("upto", running).join(quota, "members").filter("upto >= rest and upto - bytes < rest").groupBy("members").agg(F.min("bucket").alias("cut"), F.min(F.col("upto") - F.col("bytes")).alias("before"))
-    plan_of = stored(quota.join(cuts, "members", "left"), "mix_plan")  # a row per pattern
-    joined = rows.join(F.broadcast(plan_of) if len(found) <= 10_000 else plan_of, "members")
-    bucket = F.substring("order", 1, DIGITS)
-    clear = joined.filter(F.col("cut").isNull() | (bucket != F.col("cut"))).withColumn("extra", (F.coalesce(bucket < F.col("cut"), F.lit(False)) & (F.col("rest") > 0)).cast("long"))
-    edge = joined.filter(bucket == F.col("cut"))
-    own = Window.partitionBy("members").orderBy("order", "size").rowsBetween(Window.unboundedPreceding, 0)
-    middle = F.col("before") + F.sum("size").over(own) - F.col("size") / 2
-    edge = edge.withColumn("extra", (middle <= F.col("rest")).cast("long"))
-    out = clear.unionByName(edge)
-    return out.select(F.col("id").alias(id_col), "size", "members", ((F.col("passes") + F.col("extra")) * F.col("size")).alias("taken"))
+    bucket = F.substring("mix_order", 1, DIGITS)
+    sums = rows.groupBy("mix_members", bucket.alias("bucket")).agg(F.sum("mix_size").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("mix_members").orderBy("bucket"))
+    cuts = sums.withColumn("upto", upto).join(quota, "mix_members").filter("upto >= rest and upto - n < rest").groupBy("mix_members").agg(F.min("bucket").alias("mix_cut"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    quota = stored(quota.join(cuts, "mix_members", "left"), "mix_quota")
+    few = len(capacity) <= 10_000
+    edge = rows.join(F.broadcast(quota) if few else quota, "mix_members").filter(bucket == F.col("mix_cut"))
+    own = Window.partitionBy("mix_members").orderBy("mix_order", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
+    middle = F.col("before") + F.sum("mix_size").over(own) - F.col("mix_size") / 2
+    last = edge.withColumn("in", middle <= F.col("rest")).filter("in").groupBy("mix_members").agg(F.max(F.struct("mix_order", "mix_size")).alias("mix_last"))
+    out = stored(quota.join(last, "mix_members", "left").select("mix_members", "passes", "mix_cut", "mix_last"), "mix_plan")
+    return (F.broadcast(out) if few else out), sizes, target
+
+
+def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """The rows of ``sized`` with ``times``, how often the mix takes each."""
+    here = F.struct("mix_order", "mix_size")
+    more = F.coalesce((F.col("mix_order") < F.col("mix_cut")) | (here <= F.col("mix_last")), F.col("mix_order") < F.col("mix_cut"), F.lit(False))
+    return rows.join(plan, "mix_members").withColumn("times", (F.col("passes") + more.cast("long")).cast("int")).drop("passes", "mix_cut", "mix_last")
+
+
+def mix(docs: DataFrame, size: F.Column, members: F.Column, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:
+    """``docs`` with ``times``, how often the mix takes each document: 0 to ``most``, always as a whole.
+
+    ``members`` is an array of sources; a null in it is a source of its own. A pattern's sum misses the routed amount
+    by half a document at most, or by half of the rows that share an id and a size. Ids may be null or repeat. A null
+    size is 0. No rows give no rows. Same input and seed, same result. Columns of ``docs`` stay, those named mix_ aside.
+    """
+    rows = sized(docs, size, members, id_col, seed)
+    plan, _, _ = quotas(stored(rows.select("mix_size", "mix_members", "mix_order"), "mix"), weights, share, most)
+    return take(rows, plan).drop("mix_size", "mix_members", "mix_order")
 
 
 def words(text: str) -> F.Column:
@@ -147,9 +167,9 @@ def words(text: str) -> F.Column:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    mixed = mix(documents(spark, sf_dir), words("text"), F.array("source"))
-    mixed = stored(mixed.withColumn("source", F.element_at("members", 1)), "mixed")
-    sizes = {r["source"]: r["n"] for r in mixed.groupBy("source").agg(F.sum("size").alias("n")).limit(MOST_PATTERNS).collect()}
-    target = targets(sizes)
+    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
+    rows = stored(sized(docs, words("text"), F.array("source")).drop("text"), "mix")
+    plan, sizes, target = quotas(rows)
     catalogue = spark.createDataFrame([(s, n, target[s]) for s, n in sizes.items()], "s string, source_size long, target double")
-    return mixed.join(F.broadcast(catalogue) if len(sizes) <= 10_000 else catalogue, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = take(rows, plan).join(F.broadcast(catalogue) if len(sizes) <= 10_000 else catalogue, F.col("source").eqNullSafe(F.col("s")))
+    return mixed.select("doc_id", F.col("mix_size").alias("size"), "source_size", "target", (F.col("times") * F.col("mix_size")).alias("taken"))
