@@ -100,9 +100,16 @@ class _Numbers(dict):
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """From the stored counts; the driver gets KNOWN words at most, and sums by tail class."""
+    """From the stored counts; the driver gets KNOWN words at most, and sums by tail class and by size of count."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("c"), "word").limit(KNOWN).select("word", "c").collect()
+    # The least count of a known word: counts are sorted into steps of 2 %, of which there are some thousands at most
+    step = F.floor(F.log(F.col("c")) / np.log(1.02)).cast("int")
+    left, least = KNOWN, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["step"]
+    top = sorted(counts.filter(step >= least).select("word", "c").collect(), key=lambda r: (-r["c"], bytes(r["word"])))
     words, c = [bytes(r["word"]) for r in top], [r["c"] for r in top]
     if END not in words[:HEAD]:  # the end is always in the head
         have = counts.filter(F.octet_length("word") == 0).select("c").first()
