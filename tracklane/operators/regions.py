@@ -31,7 +31,7 @@ def raw_regions(frames: DataFrame, params: RegionParams) -> DataFrame:
         frames.withColumn("run", F.sum(speech.cast("int")).over(by)).filter("run > 0").groupBy("file_id", "run")
         .agg(F.min("frame").alias("first"), F.min(F.when(low, F.col("frame"))).alias("quiet"), F.max(F.when(low, F.col("frame"))).alias("quiet_last"), F.first("total").alias("total"))
     )  # a run is a speech frame and what follows it up to the next
-    closes = F.coalesce(position(F.col("quiet_last") + 1) - position(F.col("quiet")) >= least, F.lit(False))
+    closes = F.col("quiet").isNotNull() & (position(F.col("quiet_last") + 1) - position(F.col("quiet")) >= least)
     before = Window.partitionBy("file_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     numbered = runs.withColumn("closes", closes).withColumn("region", F.coalesce(F.sum(F.col("closes").cast("int")).over(before), F.lit(0)))
     ends = F.max(F.when(F.col("closes"), position(F.col("quiet"))))

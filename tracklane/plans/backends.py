@@ -48,7 +48,7 @@ class Loudness:
         n = -(-len(samples) // self.frame_samples)
         full = np.zeros(n * self.frame_samples, np.float32)
         full[: len(samples)] = samples
-        return np.where(np.abs(full.reshape(n, -1)).max(1, initial=0) > 0.1, 0.9, 0.0)
+        return np.where(np.abs(full.reshape(n, self.frame_samples)).max(1, initial=0) > 0.1, 0.9, 0.0)
 
 
 _registered: dict[str, Callable[..., Any]] = {"scorer": Loudness}
