@@ -126,20 +126,20 @@ def quotas(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1
     target = targets(sizes, weights, share, most)
     flow = {p: sum(x.values()) for p, x in route(capacity, target, most).items()}
     plan = [(list(p), flow[p] // n if n else 0, flow[p] % n if n else 0) for p, n in capacity.items()]
-    quota = rows.sparkSession.createDataFrame(plan, "mix_members array<string>, passes long, rest long")
+    quota = rows.sparkSession.createDataFrame(plan, "mix_members array<string>, mix_passes long, mix_rest long")
 
     # Radix descent: sums of buckets of the hash show in which bucket the cut of each pattern falls
     bucket = F.substring("mix_order", 1, DIGITS)
     sums = rows.groupBy("mix_members", bucket.alias("bucket")).agg(F.sum("mix_size").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("mix_members").orderBy("bucket"))
-    cuts = sums.withColumn("upto", upto).join(quota, "mix_members").filter("upto >= rest and upto - n < rest").groupBy("mix_members").agg(F.min("bucket").alias("mix_cut"), F.min(F.col("upto") - F.col("n")).alias("before"))
+    cuts = sums.withColumn("upto", upto).join(quota, "mix_members").filter("upto >= mix_rest and upto - n < mix_rest").groupBy("mix_members").agg(F.min("bucket").alias("mix_cut"), F.min(F.col("upto") - F.col("n")).alias("before"))
     quota = stored(quota.join(cuts, "mix_members", "left"), "mix_quota")
     few = len(capacity) <= 10_000
     edge = rows.join(F.broadcast(quota) if few else quota, "mix_members").filter(bucket == F.col("mix_cut"))
     own = Window.partitionBy("mix_members").orderBy("mix_order", "mix_size").rowsBetween(Window.unboundedPreceding, 0)
     middle = F.col("before") + F.sum("mix_size").over(own) - F.col("mix_size") / 2
-    last = edge.withColumn("in", middle <= F.col("rest")).filter("in").groupBy("mix_members").agg(F.max(F.struct("mix_order", "mix_size")).alias("mix_last"))
-    out = stored(quota.join(last, "mix_members", "left").select("mix_members", "passes", "mix_cut", "mix_last"), "mix_plan")
+    last = edge.withColumn("in", middle <= F.col("mix_rest")).filter("in").groupBy("mix_members").agg(F.max(F.struct("mix_order", "mix_size")).alias("mix_last"))
+    out = stored(quota.join(last, "mix_members", "left").select("mix_members", "mix_passes", "mix_cut", "mix_last"), "mix_plan")
     return (F.broadcast(out) if few else out), sizes, target
 
 
@@ -147,7 +147,7 @@ def take(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """The rows of ``sized`` with ``times``, how often the mix takes each."""
     here = F.struct("mix_order", "mix_size")
     more = F.coalesce((F.col("mix_order") < F.col("mix_cut")) | (here <= F.col("mix_last")), F.col("mix_order") < F.col("mix_cut"), F.lit(False))
-    return rows.join(plan, "mix_members").withColumn("times", (F.col("passes") + more.cast("long")).cast("int")).drop("passes", "mix_cut", "mix_last")
+    return rows.join(plan, "mix_members").withColumn("times", (F.col("mix_passes") + more.cast("long")).cast("int")).drop("mix_passes", "mix_cut", "mix_last")
 
 
 def mix(docs: DataFrame, size: F.Column, members: F.Column, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 11) -> DataFrame:

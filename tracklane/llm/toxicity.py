@@ -87,7 +87,7 @@ def counted(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
         for batch in batches:
-            rows = [Counter(filter(None.__ne__, map(number.get, terms_of(x or b"")))) for x in batch.column(1).to_pylist()]
+            rows = [Counter(i for i in map(number.get, terms_of(x or b"")) if i is not None) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(r) for r in rows], pa.list_(pa.int32())), pa.array([[r[k] for k in sorted(r)] for r in rows], pa.list_(pa.int32()))], ["id", "terms", "counts"])
 
     of = T.ArrayType(T.IntegerType())
@@ -188,7 +188,7 @@ class Model:
 
 def fit(sample: list[tuple[int, str, int]], vocabulary: list[bytes], idf: np.ndarray) -> Model:
     number = {w: i for i, w in enumerate(vocabulary)}
-    rows = [Counter(filter(None.__ne__, map(number.get, terms_of(t.encode())))) for _, t, _ in sample]
+    rows = [Counter(i for i in map(number.get, terms_of(t.encode())) if i is not None) for _, t, _ in sample]
     truth = np.array([y for _, _, y in sample], float)
     x = vectors([sorted(r) for r in rows], [[r[k] for k in sorted(r)] for r in rows], idf)
     some = np.array([bool(r) for r in rows], bool)
