@@ -229,6 +229,7 @@ def plain_components(plain, n, p, q):
 def test_similarity_join_loses_no_link(docs, rows, small, small_rows, n, p, monkeypatch):
     monkeypatch.setattr(jaccard_join, "SMALL", 3)
     monkeypatch.setattr(jaccard_join, "CROWD", 4)
+    monkeypatch.setattr(jaccard_join, "COMMON", 3)
     for df, plain in both(docs, rows, small, small_rows)[: 1 if p == 50 else 2]:
         got = Counter(tuple(r) for r in jaccard_join.near_duplicates(df, words=n, p=p, q=100).select("doc_id", "n_shingles", "component_id").collect())
         assert got == plain_components(plain, n, p, 100)
@@ -247,7 +248,12 @@ def test_similar_sets_share_a_signature():
             b = np.unique(np.concatenate([a[gone // 2 :], luck.integers(0, 1 << 63, gone - gone // 2, np.uint64)]))
             common = len(np.intersect1d(a, b))
             if enum.similar(len(a), len(b), common) and len(b) and not np.array_equal(a, b):
-                assert len(np.intersect1d(enum.signatures(a), enum.signatures(b))), (p, size, gone)
+                (x, need_x), (y, need_y) = enum.signatures(a, len(a)), enum.signatures(b, len(b))
+                both = np.intersect1d(x, y)
+                assert len(both), (p, size, gone)
+                for own, need in ((x, need_x), (y, need_y)):
+                    counts = Counter(need[np.isin(own, both)].tolist())
+                    assert any(n >= k % (1 << 16) for k, n in counts.items()), (p, size, gone)
 
 
 def test_components_of_chains_and_stars(spark):

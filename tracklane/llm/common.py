@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,18 +48,55 @@ def _drop_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, batch_bytes: int = 16 << 20) -> DataFrame:
     """Write the rows to a table in the shared folder and read them back.
 
-    Cuts the lineage: a lost executor costs a reread, not a recomputation. The table goes when the session ends.
+    Cuts the lineage: a lost executor costs a reread, not a recomputation. The table goes when the session ends, and the
+    shuffle files that it was made from, which nothing reads again, as soon as it is written.
+    ``batch_bytes`` bounds what reaches a Python worker at once.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _drop_at_exit(spark, path)
+    for paths in _open:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables stored since each of the blocks that are open now began.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables stored within the block go at its end. What is needed later is stored after it, or taken out by ``kept``."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """A stored table that outlives the blocks that are open."""
+    held = [len(paths) for paths in _open]
+    out = stored(df, name)
+    for paths, n in zip(_open, held, strict=True):
+        del paths[n:]
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, also where the body uses it many times."""
     return F.element_at(F.transform(F.array(value), body), 1)

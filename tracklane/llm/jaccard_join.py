@@ -6,12 +6,17 @@ first-level parts, so many that one of them holds at most one difference, and ea
 which all but one are then free of differences: a signature hashes the features of such a subset of parts. Two sets
 that are similar enough and belong to a band share a signature.
 
+Features that many unrelated documents have (a licence line, say) are left out of signatures, as they would bring
+documents together that have little else in common. That is exact, since a difference can only shrink when a part of
+the domain is left out; so it doesn't matter that these features are found on a sample.
+
 Sets that share a signature aren't all compared with one another, since a large group of near copies would give the
 square of its size. Each bucket of a signature has a hub, the set that shares most, and every member is compared with
 it. Whatever links to its hub is in the hub's class. A member x that doesn't link can still link to another member y,
 but only if their differences from the hub, x^h and y^h, have enough features in common, by
 |x^y| = |x^h| + |y^h| - 2|(x^h)&(y^h)|. Small groups are compared pair by pair; in large ones a prefix index over the
-differences finds the pairs, and what is still crowded there becomes a bucket of the next round. No link is lost.
+differences, rarest features first, finds the pairs, and what is still crowded there becomes a bucket of the next
+round. No link is lost.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import combinations
+from math import exp
 
 import numpy as np
 import pyarrow as pa
@@ -27,15 +33,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracklane.llm.common import documents, stored
+from tracklane.llm.common import documents, kept, passing, stored
 from tracklane.llm.components import components
 
-#: Second-level parts; each signature leaves one of them out.
-SECOND = 2
+#: Second-level parts, of which each signature leaves one out. Sets with too many empty subsets go on to the next.
+SECOND = (2, 3, 4)
 #: A group of up to so many members is compared pair by pair.
 SMALL = 16
+#: And an entry of the prefix index, whose pairs are then sifted by position, up to so many.
+CROWD = 64
 #: After so many rounds of hubs, what is left is compared pair by pair.
-ROUNDS = 10
+ROUNDS = 8
+#: Texts sampled, on average at most, to find features that many have, and how many of them make a feature common.
+SAMPLE, COMMON = 8192, 8
+#: How often classes that share too few signatures are sifted out; each time others may follow.
+SIFTS = 2
+#: Bytes in a batch that carries sets.
+SET_BYTES = 4 << 20
 #: Positions of the bitmap that says which sets must be kept; its size doesn't depend on the input.
 BITMAP = 1 << 26
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +65,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -77,6 +91,24 @@ class Shingler:
         return np.unique(_mix(out + np.uint64(n)))
 
 
+def common_features(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
+    """Ascending features that at least COMMON of the sampled texts have; of near copies among them one counts."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    luck = F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(1 << 30))
+    rows = docs.filter(luck < int(share * (1 << 30))).select(F.col(text_col).cast("binary").alias("t")).distinct().limit(2 * SAMPLE).collect()
+    shingler, sets = Shingler(words), []
+    seen: set[tuple[int, int]] = set()
+    for text in sorted(bytes(r["t"] or b"") for r in rows):
+        s = shingler.set_of(text)
+        if len(s):
+            least = {(k, int(_mix(s ^ np.uint64(k * 0x9E37)).min())) for k in range(1, 5)}
+            if seen.isdisjoint(least):
+                sets.append(s)
+            seen |= least
+    features, counts = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_counts=True)
+    return features[counts >= COMMON]
+
+
 def class_of(features: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(features.tobytes(), digest_size=8).digest(), "little", signed=True)
 
@@ -87,10 +119,11 @@ class PartEnum:
     def __init__(self, p: int, q: int):
         self.p, self.q = p, q
         self.bands = [1]
-        while self.bands[-1] < 1 << 40:  # twice as wide, in logarithms, as the sizes that one size can be similar to
-            self.bands.append(max(self.bands[-1] + 1, self.bands[-1] * q * q // (p * p)))
+        while self.bands[-1] < 1 << 40:
+            self.bands.append(max(self.bands[-1] + 1, self.bands[-1] * q // p))
         self.edges = np.array(self.bands)
-        self.subsets = [list(c) for c in combinations(range(SECOND), SECOND - 1)]
+        self.known: dict[tuple[int, int], tuple[int, int]] = {}
+        self.subsets = {n: [list(c) for c in combinations(range(n), n - 1)] for n in SECOND}
 
     def most(self, total: int) -> int:
         """The largest symmetric difference of two similar sets with so many features together."""
@@ -107,74 +140,123 @@ class PartEnum:
             out.append(out[-1] + 1)
         return out
 
-    def signatures(self, features: np.ndarray) -> np.ndarray:
-        out = []
-        for band in self.bands_of(len(features)) if len(features) else []:
-            most = self.most(2 * (self.bands[band + 1] - 1))
-            if most == 0:
+    def parts(self, band: int, second: int) -> tuple[int, int]:
+        """First-level parts of a band, and how many of them are spare.
+
+        A pair needs one that holds at most one difference and has no empty subset, since nothing in common is no
+        likeness. So many are spare that a set rarely has more than that with an empty subset.
+        """
+        if (band, second) not in self.known:
+            need, least = self.most(2 * (self.bands[band + 1] - 1)) // 2 + 1, max(1, self.bands[band] * self.p // self.q)
+            best = (2.0, 0)
+            for spare in range(need // 3 + 2):
+                n = need + spare
+                rate = second * n * exp(-least * (second - 1) / (second * n))
+                term = total = exp(-min(rate, 700))
+                for k in range(1, spare + 1):
+                    term *= rate / k
+                    total += term
+                best = min(best, (round(1 - total, 3), spare))
+                if best[0] < 0.01:
+                    break
+            self.known[band, second] = (need + best[1], best[1])
+        return self.known[band, second]
+
+    def signatures(self, features: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of a set of ``size`` features, those given: a fixed part of the domain can be left out.
+
+        With each signature, its band and how many of that band any similar set must have in common with this one,
+        as band * 2**16 + least: of the spare parts, those that aren't needed for empty ones give one each.
+        """
+        out, least = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for band in self.bands_of(size) if size else []:
+            if self.most(2 * (self.bands[band + 1] - 1)) == 0:
                 continue  # only equal sets are similar
-            first = most // 2 + 1
-            spare = (first + 7) // 8
-            first += spare
-            part = ((features >> np.uint64(17)) % np.uint64(first * SECOND)).astype(np.int64)
-            sums = np.zeros(first * SECOND, np.uint64)
-            np.add.at(sums, part, features)
-            sums, counts = sums.reshape(first, SECOND), np.bincount(part, minlength=first * SECOND).reshape(first, SECOND)
-            total = np.stack([sums[:, s].sum(1) for s in self.subsets], 1)
-            empty = np.stack([counts[:, s].sum(1) for s in self.subsets], 1) == 0
-            name = np.arange(total.size, dtype=np.uint64).reshape(total.shape) + np.uint64(band << 32)
-            signed = _mix(total + _mix(name * _M3 + np.uint64(1)))
-            # An empty part says nothing. Spare first-level parts make up for those with one, unless there are too many.
-            out.append(signed.ravel() if empty.any(1).sum() > spare else signed[~empty])
-        return np.concatenate(out).view(np.int64) if out else np.zeros(0, np.int64)
+            for second in SECOND:
+                first, spare = self.parts(band, second)
+                part = ((features >> np.uint64(17)) % np.uint64(first * second)).astype(np.int64)
+                sums = np.zeros(first * second, np.uint64)
+                np.add.at(sums, part, features)
+                sums, counts = sums.reshape(first, second), np.bincount(part, minlength=first * second).reshape(first, second)
+                total = np.stack([sums[:, s].sum(1) for s in self.subsets[second]], 1)
+                empty = np.stack([counts[:, s].sum(1) for s in self.subsets[second]], 1) == 0
+                name = np.arange(total.size, dtype=np.uint64).reshape(total.shape) + np.uint64(band << 40 | second << 32)
+                signed = _mix(total + _mix(name * _M3 + np.uint64(1)))
+                out.append(signed[~empty])
+                weak = int(empty.any(1).sum())
+                if weak <= spare:  # of two similar sets, one that stops here leaves them signatures in common here
+                    need = 1 + spare - weak if second == SECOND[0] else 1
+                    break
+            else:
+                need = 1
+                out.append(signed[empty])
+            have = sum(map(len, out)) - sum(map(len, least))
+            least.append(np.full(have, (band << 16) + min(need, 0xFFFF), np.int32))
+        return np.concatenate(out).view(np.int64), np.concatenate(least)
 
 
 def shingled(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """Stored: id, n_shingles and class (null for an empty set) of each row."""
+    """Stored: id, n_shingles, class (null for an empty set) and a hash of the text of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
-            sets = [shingler.set_of(t or b"") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], ["id", "n_shingles", "class"])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("class", T.LongType())])
+            texts = [t or b"" for t in batch.column(1).to_pylist()]
+            sizes, classes = [], []
+            for t in texts:
+                s = shingler.set_of(t)
+                sizes.append(len(s))
+                classes.append(class_of(s) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(v, pa.int64()) for v in (sizes, classes, map(_text_hash, texts)))], ["id", "n_shingles", "class", "text_hash"])
+
+    longs = [T.StructField(n, T.LongType()) for n in ("n_shingles", "class", "text_hash")]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *longs])
     return stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema), "shingled")
 
 
 def signatures(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
-    """(class, bucket) for each signature of each set; of copies that a task comes across, the first gives them."""
+    """(class, bucket, least) for each signature of each set; of copies that a task meets, the first gives them."""
+
+    shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, enum = Shingler(words), PartEnum(p, q)
+        common = shared.value
         seen: set[int] = set()
         for batch in batches:
-            classes, signs, held = [], [], 0
+            classes, signs, least, held = [], [], [], 0
             for text in [*batch.column(0).to_pylist(), None]:
-                s = shingler.set_of(text or b"")
-                c = class_of(s)
-                if len(s) and c not in seen:
+                key = _text_hash(text or b"")
+                if text and key not in seen:
                     if len(seen) >= 1 << 18:
                         seen.clear()
-                    seen.add(c)
-                    own = enum.signatures(s)
-                    classes.append(np.full(len(own), c))
+                    seen.add(key)
+                    s = shingler.set_of(text)
+                    rest = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s] if len(common) else s
+                    own, needs = enum.signatures(rest, len(s))
+                    least.append(needs)
+                    classes.append(np.full(len(own), class_of(s)))
                     signs.append(own)
                     held += len(own)
                 if held > 1 << 18 or text is None and held:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(classes)), pa.array(np.concatenate(signs))], ["class", "bucket"])
-                    classes, signs, held = [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(classes)), pa.array(np.concatenate(signs)), pa.array(np.concatenate(least))], ["class", "bucket", "least"])
+                    classes, signs, least, held = [], [], [], 0
+
+    return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "class long, bucket long, least int")
 
-    return docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "class long, bucket long")
 
+def _text_hash(text: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
+
+def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
     """Stored: (class, features) for the wanted classes, once each.
 
-    The sets are made again from the texts. A bitmap of fixed size keeps most of the other sets from being sent.
+    The sets are made again from one text of each class. A bitmap of fixed size tells most of the other texts apart.
     """
-    place = F.pmod("class", F.lit(BITMAP)) + 1  # both bitmap functions count from one
-    maps = wanted.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # BITMAP bits at most
+    texts = rows.select("class", "text_hash").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
+    place = F.pmod("text_hash", F.lit(BITMAP)) + 1  # both bitmap functions count from one
+    maps = texts.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # BITMAP bits at most
     bits = np.zeros(BITMAP // 8 + 4096, np.uint8)
     for r in maps:
         bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -185,13 +267,10 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> Da
         for batch in batches:
             classes, sets = [], []
             for text in batch.column(0).to_pylist():
-                s = shingler.set_of(text or b"")
-                if len(s):
-                    c = class_of(s)
-                    at = c % BITMAP
-                    if here[at >> 3] >> (at & 7) & 1:
-                        classes.append(c)
-                        sets.append(s.tobytes())
+                at = _text_hash(text or b"") % BITMAP
+                if here[at >> 3] >> (at & 7) & 1 and len(s := shingler.set_of(text or b"")):
+                    classes.append(class_of(s))
+                    sets.append(s.tobytes())
             if classes:
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "features"])
 
@@ -200,43 +279,43 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int, text_col: str) -> Da
 
 
 def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Stored: each member with its hub, whether they link, and, in large groups, the index entries of their difference.
+    """Stored: each member with its hub, whether they link, the member's size, and d, the size of their difference.
 
-    ``seek`` holds a prefix of the difference by which a member that doesn't link looks for others; ``offer`` the
-    prefix by which it is found. Both prefixes hold what the member has and the hub lacks before the rest.
+    In large groups also the difference itself, and how far into it, rarest features first, others must be met:
+    ``seek`` by a member that doesn't link to the hub, ``offer`` by any member to one that doesn't.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum = PartEnum(p, q)
         c = (q - p) / (q + p)
         for batch in batches:
-            hubs, members, large, left, right = (batch.column(i).to_pylist() for i in range(5))
-            linked, seek, offer = [], [], []
-            for big, a, b in zip(large, left, right, strict=True):
+            large = batch.column(2).to_pylist()
+            linked, size, d, seek, offer, delta = [], [], [], [], [], []
+            for big, a, b in zip(large, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 h, x = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                added, gone = np.setdiff1d(x, h, assume_unique=True), np.setdiff1d(h, x, assume_unique=True)
-                d = len(added) + len(gone)
-                linked.append(enum.similar(len(h), len(x), len(x) - len(added)))
-                mine: list[int] = []
-                yours: list[int] = []
-                if big:
-                    both = np.concatenate([added, gone]).view(np.int64)
-                    common = max(1, -(-(d + 1 - int(np.ceil(c * max(0, len(x) - len(h))))) // 2))
-                    yours = both[: d - common + 1].tolist()
-                    if not linked[-1]:
-                        mine = both[: enum.most(len(x) + len(x) * q // p) + 1].tolist()
-                seek.append(mine)
-                offer.append(yours)
-            of = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(linked), pa.array(seek, of), pa.array(offer, of)], ["hub", "class", "large", "linked", "seek", "offer"])
+                both = np.setxor1d(h, x, assume_unique=True)
+                common = (len(h) + len(x) - len(both)) // 2
+                linked.append(enum.similar(len(h), len(x), common))
+                size.append(len(x))
+                d.append(len(both))
+                # How many features two differences must share at least, if one of the two doesn't link to the hub
+                least = max(1, -(-(len(both) + 1 - int(np.ceil(c * max(0, len(x) - len(h))))) // 2))
+                offer.append(len(both) - least)
+                seek.append(-1 if linked[-1] else enum.most(len(x) + len(x) * q // p))
+                delta.append(both.view(np.int64) if big else both[:0].view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked), *(pa.array(v, pa.int64()) for v in (size, d, seek, offer)), pa.array(delta, pa.list_(pa.int64()))],
+                ["hub", "class", "large", "linked", "size", "d", "seek", "offer", "delta"],
+            )
 
     sizes = stars.groupBy("hub").agg((F.count("*") > SMALL).alias("large"))
     rows = stars.join(sizes, "hub").join(sets.select(F.col("class").alias("hub"), F.col("features").alias("of_hub")), "hub").join(sets, "class")
-    return stored(rows.select("hub", "class", "large", "of_hub", "features").mapInArrow(run, "hub long, class long, large boolean, linked boolean, seek array<long>, offer array<long>"), "stars")
+    schema = "hub long, class long, large boolean, linked boolean, size long, d long, seek long, offer long, delta array<long>"
+    return stored(rows.select("hub", "class", "large", "of_hub", "features").mapInArrow(run, schema), "stars", SET_BYTES)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """Stored: the pairs (a, b) that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enum = PartEnum(p, q)
@@ -248,15 +327,55 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     left, right = (sets.select(F.col("class").alias(k), F.col("features").alias(f"of_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "verified", SET_BYTES)
+
+
+def _entries(done: DataFrame) -> DataFrame:
+    """Stored: the prefix index over the differences of large groups, an entry for each feature and member.
+
+    Features that a single member has, or only members that link, can't lead to a pair: they come first, without an
+    entry. The others follow by how many have them, so that a prefix holds the rarest. ``n`` members have an entry.
+    """
+    spread = done.filter("large").select("hub", "class", "linked", "size", "d", "seek", "offer", F.explode("delta").alias("feature"))
+    common = spread.groupBy("hub", "feature").agg(F.count("*").alias("have"), F.min("linked").alias("all_linked")).filter("have > 1 and not all_linked").drop("all_linked")
+    own = Window.partitionBy("hub", "class")
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("have", "feature")) - 1
+    placed = spread.join(common, ["hub", "feature"]).withColumn("at", at).withColumns({"seeks": F.col("at") <= F.col("seek"), "offers": F.col("at") <= F.col("offer")}).filter("seeks or offers")
+    ranked = stored(placed.select("hub", "feature", "class", "size", "d", "at", "seeks", "offers"), "placed")
+    met = ranked.groupBy("hub", "feature").agg(F.count("*").alias("n"), F.max("seeks").alias("sought"), F.min_by("class", F.struct("d", "class")).alias("nearest")).filter("n > 1 and sought").drop("sought")
+    return stored(ranked.join(met, ["hub", "feature"]), "entries")
+
+
+def _met(entries: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs of a member that seeks and one that offers under the same feature, where both prefixes reach it."""
+    a = entries.filter("seeks").select("hub", "feature", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("d").alias("d_a"), F.col("at").alias("at_a"))
+    b = entries.filter("offers").select("hub", "feature", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("d").alias("d_b"), F.col("at").alias("at_b"))
+    most = F.floor((F.col("size_a") + F.col("size_b")) * (q - p) / (q + p))
+    least = F.ceil((F.col("d_a") + F.col("d_b") - most) / 2)
+    fits = (F.col("at_a") <= F.col("d_a") - least) & (F.col("at_b") <= F.col("d_b") - least) & (q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b"))
+    return a.join(b, ["hub", "feature"]).filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _sifted(shared: DataFrame) -> DataFrame:
+    """Stored: the rows of classes that share as many signatures of a band as any similar set must have in common.
+
+    A set that merely has a few features of some other sets goes here, before any set is fetched. Buckets that are left
+    with one class go too.
+    """
+    enough = shared.groupBy("class", "least").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("least") % (1 << 16)).select("class").distinct()
+    left = stored(shared.join(enough, "class", "left_semi"), "sifted")
+    met = left.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last").select("bucket")
+    return stored(left.join(met, "bucket", "left_semi"), "sifted")
 
 
-def links(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
+def links(rows: DataFrame, docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
     """Links (a, b) between classes: every class that links to another is joined to it by a path of these."""
     by = Window.partitionBy("bucket")
     signs = signatures(docs, words, p, q, text_col).withColumns({"first": F.min("class").over(by), "last": F.max("class").over(by)})
-    shared = stored(signs.filter("first <> last").select("bucket", "class").distinct(), "buckets")
-    sets = sets_of(docs, shared.select("class").distinct(), words, text_col)
+    shared = stored(signs.filter("first <> last").select("bucket", "class", "least").distinct(), "buckets")
+    for _ in range(SIFTS):
+        shared = _sifted(shared)
+    sets = sets_of(docs, rows, shared.select("class").distinct(), words, text_col)
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
     degree = shared.join(sizes, "bucket").groupBy("class").agg(F.sum("size").alias("degree"))
     ranked = shared.join(degree, "class")
@@ -269,22 +388,17 @@ def links(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFra
         found.append(done.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
         last = turn == ROUNDS - 1
         few = done if last else done.filter("not large")
-        lone = few.filter("not linked").select("hub", F.col("class").alias("a"))
-        others = few.select("hub", F.col("class").alias("b"), "linked")
-        pairs = lone.join(others, "hub").filter("a <> b and (linked or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        lone = few.filter("not linked").select("hub", F.col("class").alias("a"), F.col("size").alias("size_a"))
+        others = few.select("hub", F.col("class").alias("b"), "linked", F.col("size").alias("size_b"))
+        near = q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")
+        pairs = lone.join(others, "hub").filter(F.expr("a <> b and (linked or a < b)") & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         crowd = False
         if not last and done.filter("large and not linked").limit(1).count():
-            entries = done.filter("large").select("hub", "class", "linked", F.explode(F.array_union("seek", "offer")).alias("feature"), "seek", "offer")
-            entries = entries.select("hub", "class", "feature", (~F.col("linked") & F.array_contains("seek", F.col("feature"))).alias("seeks"), F.array_contains("offer", F.col("feature")).alias("offers"))
-            by = Window.partitionBy("hub", "feature")
-            entries = stored(entries.withColumns({"n": F.count("*").over(by), "least": F.min(F.when(F.col("seeks"), F.col("class"))).over(by)}).filter("n > 1 and least is not null"), "entries")
-            seekers = entries.filter(f"seeks and n <= {SMALL}").select("hub", "feature", F.col("class").alias("a"))
-            offered = entries.filter(f"offers and n <= {SMALL}").select("hub", "feature", F.col("class").alias("b"))
-            met = seekers.join(offered, ["hub", "feature"]).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            pairs = pairs.unionByName(met)
-            stars = entries.filter(f"n > {SMALL}").select(F.col("least").alias("hub"), "class").distinct()
+            entries = _entries(done)
+            pairs = pairs.unionByName(_met(entries.filter(f"n <= {CROWD}"), p, q))
+            stars = entries.filter(f"n > {CROWD}").select(F.col("nearest").alias("hub"), "class").distinct()
             crowd = stars.limit(1).count() > 0
-        found.append(stored(_verified(pairs.distinct(), sets, p, q), "verified"))
+        found.append(_verified(pairs.distinct(), sets, p, q))
         if not crowd:
             break
     out = found[0]
@@ -300,11 +414,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     hashes. Rows without a word, null texts too, link with nothing. Ids may repeat or be null; a component of null ids
     only has a null component_id. No rows give no rows. Other columns aren't read.
     """
-    rows = shingled(docs, words, id_col, text_col)
-    labels = components(links(docs, words, p, q, text_col))
-    own = rows.select("id", "n_shingles", "class")
-    joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    joined = stored(joined, "labelled")
+    with passing(docs.sparkSession):
+        rows = shingled(docs, words, id_col, text_col)
+        labels = components(links(rows, docs, words, p, q, text_col))
+        own = rows.select("id", "n_shingles", "class")
+        joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        joined = kept(joined, "labelled")
     least = joined.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
     out = joined.join(least, "component", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
