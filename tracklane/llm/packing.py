@@ -69,11 +69,11 @@ class Encoder:
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
-def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
+def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, ranks: str | None = None) -> DataFrame:
     """Pass one, stored: each document's ids with the end id, and its offset within its partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at = Encoder(), TaskContext.get().partitionId(), 0
+        encoder, part, at = Encoder(ranks), TaskContext.get().partitionId(), 0
         for batch in batches:
             offsets, sizes, ids = [], [], []
             for text in batch.column(1).to_pylist():
@@ -88,13 +88,14 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end
     return stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(encode, schema), "pack")
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = 0, ranks: str | None = None) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32 bits each), doc_tokens, sequence_id, offset.
 
     Sequences are ``length`` ids long but for the last. A null text is an empty one: its piece holds the end id alone.
     Ids may be null or repeat; every row of ``docs`` is a document. No rows give no pieces. Other columns aren't read.
+    ``ranks`` is the path of the vocabulary's file on every executor; by default that of the installed public one.
     """
-    rows = encoded(docs, id_col, text_col, end_id)
+    rows = encoded(docs, id_col, text_col, end_id, ranks)
     sums = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.sum("doc_tokens").alias("n")).collect()}  # a number per partition
     parts = sorted(sums)
     bases = dict(zip(parts, [0, *accumulate(sums[p] for p in parts)][:-1], strict=True)) if parts else {}
