@@ -3,8 +3,10 @@
 Word counts over all training documents give the vocabulary. Frequent words, in classes of like frequency, are
 predicted by a class softmax and a softmax within the class; every other word belongs to one of a few tail classes by
 its ending, and has its share of the class by count, with room for unseen words. So the model is a probability over all
-texts. It starts out as the unigram model of the counts and is trained by truncated back-propagation on a seeded sample
-of training documents. Scoring carries the state of each document from window to window until its end.
+texts. It starts out as the unigram model of the counts. Truncated back-propagation on a seeded sample of training
+documents gives it a start; then every partition goes on training it on a fixed share of its own documents, and the
+copies are averaged by the tokens they have seen. Scoring carries the state of each document from window to window
+until its end.
 
 Counts of the commonest words travel with the model; the counts of other words, whose number grows with the corpus,
 are joined to the documents by hash.
@@ -31,8 +33,12 @@ from tracklane.llm.common import documents, fold, stored
 HEAD, CLASS, TAILS, STATE = 2048, 64, 16, 16
 #: Words whose counts travel with the model, at most.
 KNOWN = 1 << 17
-#: Documents that the recurrent part is trained on, at most, on average; lanes, window and passes of training.
+#: Documents that the recurrent part starts from, on average; lanes, window and passes of that training.
 TRAIN_DOCS, LANES, WINDOW, PASSES = 1500, 64, 16, 2
+#: The share of all training documents that partitions go on with (one in so many), lanes, and tokens trained at once.
+ONE_IN, MANY_LANES, BATCH_TOKENS = 12, 128, 1 << 20
+#: Groups in which copies of the network are averaged, level by level; the driver averages those of the last.
+GROUPS = (64, 8)
 #: Documents scored side by side, and tokens between two rounds of the output layer.
 SIDE, STRETCH = 256, 64
 END = b""
@@ -142,6 +148,9 @@ class Network:
     words: np.ndarray  # head x STATE
     word_bias: np.ndarray
 
+    def copy(self) -> Network:
+        return Network(*(p.copy() for p in self.parts()))
+
     def parts(self) -> list[np.ndarray]:
         return [self.inputs, self.state, self.classes, self.class_bias, self.words, self.word_bias]
 
@@ -192,9 +201,9 @@ def log_probs(net: Network, v: Vocabulary, h: np.ndarray, target: np.ndarray) ->
     return out
 
 
-def train(v: Vocabulary, streams: list[np.ndarray], seed: int = 0, passes: int = PASSES, rate: float = 0.01) -> Network:
+def train(v: Vocabulary, streams: list[np.ndarray], seed: int = 0, passes: int = PASSES, rate: float = 0.01, lanes: int = LANES, begin: Network | None = None) -> Network:
     """Truncated back-propagation: gradients stay within a window, the state goes on into the next."""
-    net = start_network(v, seed)
+    net = begin.copy() if begin else start_network(v, seed)
     if not streams:
         return net
     luck = np.random.default_rng(seed)
@@ -204,12 +213,12 @@ def train(v: Vocabulary, streams: list[np.ndarray], seed: int = 0, passes: int =
         order = luck.permutation(len(streams))
         outs = np.concatenate([streams[i] for i in order])
         ins = np.concatenate([np.concatenate([[start], streams[i][:-1]]) for i in order])
-        length = len(outs) // LANES
+        length = len(outs) // lanes
         if length < WINDOW:
-            outs, ins = np.resize(outs, LANES * WINDOW), np.resize(ins, LANES * WINDOW)
+            outs, ins = np.resize(outs, lanes * WINDOW), np.resize(ins, lanes * WINDOW)
             length = WINDOW
-        outs, ins = outs[: LANES * length].reshape(LANES, length), ins[: LANES * length].reshape(LANES, length)
-        h = np.zeros((LANES, STATE), np.float32)
+        outs, ins = outs[: lanes * length].reshape(lanes, length), ins[: lanes * length].reshape(lanes, length)
+        h = np.zeros((lanes, STATE), np.float32)
         for a in range(0, length - WINDOW + 1, WINDOW):
             x, y = ins[:, a : a + WINDOW], outs[:, a : a + WINDOW]
             kept, hs = [], []
@@ -220,7 +229,7 @@ def train(v: Vocabulary, streams: list[np.ndarray], seed: int = 0, passes: int =
                 kept.append((before, z, r, q, n))
                 hs.append(h)
             grads = [np.zeros_like(p) for p in net.parts()]
-            dh_out = _output_gradient(net, v, np.concatenate(hs), y.T.ravel(), grads).reshape(WINDOW, LANES, STATE)
+            dh_out = _output_gradient(net, v, np.concatenate(hs), y.T.ravel(), grads).reshape(WINDOW, lanes, STATE)
             dh = np.zeros_like(h)
             for t in reversed(range(WINDOW)):
                 before, z, r, q, n = kept[t]
@@ -304,6 +313,58 @@ def numbered(v: Vocabulary, text: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
     return numbers, tails, np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64).view(np.int64)
 
 
+def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) -> Network:
+    """The network after each partition has trained it on its share of the documents, averaged by tokens.
+
+    A partition sends one copy, whatever its size; copies are averaged in levels of GROUPS tasks, and the driver gets
+    one from each of the last. Copies are added up in the order of their partitions, so reruns agree.
+    """
+    shapes = [p.shape for p in net.parts()]
+    shared = training.sparkSession.sparkContext.broadcast((v, net.parts()))
+
+    def flat(parts: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in parts]).astype(np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, parts = shared.value
+        model, streams, held, seen, part = Network(*parts), [], 0, 0, TaskContext.get().partitionId()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                stream = symbols(own, *numbered(own, text or b"")[:2])
+                streams.append(stream)
+                held += len(stream)
+                if held >= BATCH_TOKENS:
+                    model, seen, streams, held = train(own, streams, passes=1, rate=0.003, lanes=MANY_LANES, begin=model), seen + held, [], 0
+        if held >= MANY_LANES * WINDOW:
+            model, seen = train(own, streams, passes=1, rate=0.003, lanes=MANY_LANES, begin=model), seen + held
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat(model.parts()) * seen).tobytes()], pa.binary())], ["part", "seen", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, seen, sums = None, 0, None
+        for batch in batches:
+            for part, n, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                first = part if first is None else first
+                seen, sums = seen + n, np.frombuffer(more) if sums is None else sums + np.frombuffer(more)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "seen", "sums"])
+
+    schema = "part int, seen long, sums binary"
+    chosen = training.filter(F.pmod(F.xxhash64(F.col(text_col), F.lit(9)), F.lit(ONE_IN)) == 0).select(F.col(text_col).cast("binary").alias("t"))
+    copies = stored(chosen.mapInArrow(run, schema), "networks")
+    for groups in GROUPS:
+        copies = copies.repartition(groups, F.pmod("part", F.lit(groups))).sortWithinPartitions("part").mapInArrow(add, schema)
+    found = sorted(copies.collect(), key=lambda r: r["part"])
+    if not found:
+        return net
+    mean, at, parts = sum(np.frombuffer(r["sums"]) for r in found) / sum(r["seen"] for r in found), 0, []
+    for shape in shapes:
+        n = int(np.prod(shape))
+        parts.append(mean[at : at + n].reshape(shape).astype(np.float32))
+        at += n
+    return Network(*parts)
+
+
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score, log10 of probabilities.
 
@@ -320,7 +381,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     luck = F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1 << 20))
     sample = training.filter(luck < int(share * (1 << 20)) + 1).select(F.col(text_col).cast("binary").alias("t")).limit(2 * TRAIN_DOCS).collect()
     streams = [symbols(v, *numbered(v, bytes(r["t"] or b""))[:2]) for r in sorted(sample, key=lambda r: bytes(r["t"] or b""))]
-    net = train(v, streams)
+    net = refined(training, v, train(v, streams), text_col)
     shared = session.sparkContext.broadcast((v, net.parts()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
