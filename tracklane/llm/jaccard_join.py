@@ -420,7 +420,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
         own = rows.select("id", "n_shingles", "class")
         joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         joined = kept(joined, "labelled")
-    least = joined.filter("component is not null").groupBy("component").agg(F.min("id").alias("least"))
+        # Read from a table, the join below deals plain rows, so that Spark can split a component with many of them
+        least = kept(joined.filter("component is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
     out = joined.join(least, "component", "left")
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
 
