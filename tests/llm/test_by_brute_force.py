@@ -322,3 +322,29 @@ def test_empty_tables(none):
     assert mixing.mix(none, mixing.words("text"), F.array("source")).count() == 0
     assert jaccard_join.near_duplicates(none).count() == language_model.score(none, F.lit(True)).count() == 0
     assert toxicity.toxicity(none, []).count() == 0
+
+
+def test_toxicity_is_a_cosine_over_whole_texts(spark):
+    luck = np.random.default_rng(5)
+    made = lambda: " ".join("".join(chr(97 + c) for c in luck.integers(0, 26, 6)) for _ in range(12))
+    base = [made() for _ in range(40)]
+    sample = [(i, f"{base[i // 2]} w{i} the of", int(i // 2 % 3 == 0)) for i in range(80)]
+    texts = [*(t for _, t, _ in sample), made(), sample[42][1] + " unseen words", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = [Counter((t or "").split()) for t in texts]
+    docs_with = Counter(w for c in counts for w in c)
+    vector = lambda c: {w: (1 + math.log(k)) * math.log(1 + len(texts) / docs_with[w]) for w, k in c.items()}
+    length = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    for known in (1 << 17, 0):
+        toxicity_known, toxicity.KNOWN = toxicity.KNOWN, known
+        try:
+            got = {r["doc_id"]: r for r in toxicity.toxicity(df, sample).collect()}
+        finally:
+            toxicity.KNOWN = toxicity_known
+        assert len(got) == len(texts)
+        for i, c in enumerate(counts):
+            v = vector(c)
+            cosines = [sum(x * v.get(w, 0) for w, x in vector(counts[j]).items()) / length(vector(counts[j])) / length(v) if c else 0 for j in range(80)]
+            assert [e["similarity"] for e in got[i]["evidence"]] == pytest.approx(sorted(cosines)[-1:-4:-1] if c else [], abs=1e-5)
+        assert got[42]["evidence"][0]["id"] == got[81]["evidence"][0]["id"] == 42  # its words are all rare
+        assert min(got[42]["score"], got[81]["score"]) > max(0.5, 2 * got[80]["score"])

@@ -1,10 +1,14 @@
 """Toxicity by nearest labelled examples.
 
-Texts are TF-IDF vectors over a vocabulary chosen from the labels. The labelled examples are held as an inverted index
-in blocks: for each block and term, the postings and their largest weight. The largest weights bound the cosine of a
-query with anything in a block, and a block is opened only while its bound can still reach the k-th best so far; so
-the neighbours found are the exact ones. Their votes, weighted by closeness, are calibrated on the examples
-themselves, each judged by its neighbours without itself.
+Texts are TF-IDF vectors over all of their terms; document counts are taken over all documents. The labelled examples
+are held as an inverted index in blocks: for each term and block that has it, the postings and their largest weight.
+The largest weights bound the cosine of a query with anything in a block, and a block is opened only while its bound
+can still reach the k-th best so far; so the neighbours found are the exact ones. Their votes, weighted by closeness,
+and, apart from the cosine, the terms that tell the label are calibrated on the examples themselves, each judged by its
+neighbours without itself.
+
+Counts of the examples' terms and of the commonest others travel with the model; counts of other terms, whose number
+grows with the corpus and which only lengthen a query, are joined to the documents by hash.
 """
 
 from __future__ import annotations
@@ -17,6 +21,8 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +30,17 @@ from pyspark.sql import types as T
 from tracklane.llm.common import documents, fold, labels, stored
 from tracklane.llm.labelled import labelled_sample
 
-#: Labelled examples in the index, at most, and terms of the vocabulary, at most.
+#: Labelled examples in the index, at most, and terms that tell the label, at most.
 EXAMPLES, TERMS = 4096, 256
+#: Terms beyond those of the examples whose document counts travel with the model, at most.
+KNOWN = 1 << 17
 #: A term is chosen if its log likelihood ratio, and how much oftener it is in one label than in the other, reach these.
 LEAST_GAIN, LEAST_LIFT = 8.0, 2.0
 NEIGHBOURS, BLOCK = 16, 128
-#: Queries that are compared with a block at once.
-BATCH = 512
+#: What the telling terms of a text say together, in natural logs of odds, at most.
+MOST_TOLD = 6.0
+#: Blocks that are opened first, for a k-th best to compare the bounds of the others with.
+FIRST = 2
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
@@ -55,8 +65,8 @@ def one_of_each(texts: list[bytes], seeds: int = 4) -> list[int]:
     return kept
 
 
-def choose_terms(texts: list[bytes], truth: np.ndarray, n: int = TERMS) -> list[bytes]:
-    """The terms that tell most about the label, by the likelihood ratio of their document counts.
+def choose_terms(texts: list[bytes], truth: np.ndarray, n: int = TERMS) -> dict[bytes, float]:
+    """The terms that tell most about the label, by the likelihood ratio of their document counts, and their log lift.
 
     Common words that merely follow the length of a text pass no test of lift, and chance finds no test of gain.
     """
@@ -74,25 +84,75 @@ def choose_terms(texts: list[bytes], truth: np.ndarray, n: int = TERMS) -> list[
         return sum(o * np.log(o / (m * q)) for (o, m), q in zip(cells, (p, p, 1 - p, 1 - p), strict=True) if o)
 
     if not a or not b:
-        return []
+        return {}
     lift = lambda w: (with_[w] + 0.5) / (a + 1) / ((without[w] + 0.5) / (b + 1))
     known = {w: gain(w) for w in with_.keys() | without.keys() if with_[w] + without[w] >= 3 and not 1 / LEAST_LIFT < lift(w) < LEAST_LIFT}
-    return sorted((w for w, g in known.items() if g >= LEAST_GAIN), key=lambda w: (-known[w], w))[:n]
+    return {w: float(np.log(lift(w))) for w in sorted((w for w, g in known.items() if g >= LEAST_GAIN), key=lambda w: (-known[w], w))[:n]}
 
 
-def counted(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: str) -> DataFrame:
-    """Each text's terms of the vocabulary and how often they occur, as numbers."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(vocabulary)})
+def hash_of(term: bytes) -> int:
+    """As Spark's xxhash64, signed."""
+    h = xxhash.xxh64_intdigest(term, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """Stored: hash of each term and the number of rows of ``docs`` that hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
+        def out(c: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(map(hash_of, c)), pa.int64()), pa.array(list(c.values()), pa.int64())], ["hash", "n"])
+
+        counts: Counter = Counter()
         for batch in batches:
-            rows = [Counter(i for i in map(number.get, terms_of(x or b"")) if i is not None) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(r) for r in rows], pa.list_(pa.int32())), pa.array([[r[k] for k in sorted(r)] for r in rows], pa.list_(pa.int32()))], ["id", "terms", "counts"])
+            for text in batch.column(0).to_pylist():
+                counts.update(set(terms_of(text or b"")))
+                if len(counts) > 400_000:
+                    yield out(counts)
+                    counts = Counter()
+        if counts:
+            yield out(counts)
+
+    rows = docs.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "hash long, n long")
+    return stored(rows.groupBy("hash").agg(F.sum("n").alias("n")), "terms")
+
+
+def commonest(counts: DataFrame, n: int) -> list[tuple[int, int]]:
+    """Hash and count of up to ``n`` terms, whole steps of like counts at a time."""
+    step = F.floor(F.log(F.col("n")) / np.log(1.02)).cast("int")
+    left, least = n, 1 << 30
+    for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
+        if r["n"] > left:
+            break
+        left, least = left - r["n"], r["step"]
+    return [(r["hash"], r["n"]) for r in counts.filter(step >= least).collect()]
+
+
+@dataclass
+class Rows:
+    """Sparse vectors: row i has the terms ``terms[cuts[i]:cuts[i + 1]]``, ascending, with their weights."""
+
+    cuts: np.ndarray
+    terms: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, x: Rows | np.ndarray) -> Rows:
+        if isinstance(x, Rows):
+            return x
+        row, term = np.nonzero(x)
+        return cls(np.searchsorted(row, np.arange(len(x) + 1)), term, x[row, term])
 
-    of = T.ArrayType(T.IntegerType())
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("terms", of), T.StructField("counts", of)])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
+    @classmethod
+    def joined(cls, rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
+        cuts = np.cumsum([0, *(len(t) for t, _ in rows)])
+        return cls(cuts, np.concatenate([np.zeros(0, np.int64), *(t for t, _ in rows)]), np.concatenate([np.zeros(0), *(w for _, w in rows)]))
+
+    def __len__(self) -> int:
+        return len(self.cuts) - 1
+
+    def row(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.terms[self.cuts[i] : self.cuts[i + 1]], self.weights[self.cuts[i] : self.cuts[i + 1]]
 
 
 def vectors(terms: list[list[int]], counts: list[list[int]], idf: np.ndarray) -> np.ndarray:
@@ -103,59 +163,131 @@ def vectors(terms: list[list[int]], counts: list[list[int]], idf: np.ndarray) ->
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
 @dataclass
 class Index:
-    """Examples in blocks of like ones; per block, postings by term (weights of its slots) and their largest weight."""
-
-    postings: list[np.ndarray]  # terms x slots
-    largest: np.ndarray  # blocks x terms
+    """Examples in blocks of like ones; for each term the blocks that have it, their largest weight and postings."""
+
+    first: np.ndarray  # of each term, and the end: where its blocks begin
+    block: np.ndarray
+    largest: np.ndarray
+    begin: np.ndarray  # of each block of a term, and the end: where its postings begin
+    slot: np.ndarray
+    weight: np.ndarray
     ids: np.ndarray
     truth: np.ndarray
-    first: np.ndarray
 
     @classmethod
-    def of(cls, x: np.ndarray, ids: np.ndarray, truth: np.ndarray) -> Index:
-        order = np.lexsort((ids, -x.max(1, initial=0), x.argmax(1) if x.shape[1] else np.zeros(len(x))))
-        x, first = x[order], np.arange(0, len(x), BLOCK)
-        parts = [np.ascontiguousarray(x[a : a + BLOCK].T) for a in first]
-        return cls(parts, np.stack([p.max(1) for p in parts]) if parts else np.zeros((0, x.shape[1])), ids[order], truth[order], first)
-
-    def nearest(self, queries: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def of(cls, x: Rows | np.ndarray, ids: np.ndarray, truth: np.ndarray) -> Index:
+        width = 0 if isinstance(x, Rows) else x.shape[1]
+        x = Rows.of(x)
+        width = max(width, int(x.terms.max(initial=-1)) + 1)
+        held = np.bincount(x.terms, minlength=width)
+        # Like ones share the term, of those in a hundredth of the examples, that weighs most
+        lead = [max(zip(w[often], t[often], strict=True), default=(0.0, -1)) for t, w in map(x.row, range(len(x))) for often in [held[t] * 100 >= len(x)]]
+        order = np.lexsort((ids, [-w for w, _ in lead], [t for _, t in lead])).astype(np.int64)
+        rank = np.empty(len(x), np.int64)
+        rank[order] = np.arange(len(x))
+        slot = np.repeat(rank, np.diff(x.cuts))
+        by = np.lexsort((slot, x.terms))
+        term, slot, weight = x.terms[by], slot[by], x.weights[by]
+        new = np.flatnonzero(np.diff(term * (len(x) // BLOCK + 1) + slot // BLOCK, prepend=-1))
+        return cls(np.searchsorted(term[new], np.arange(width + 1)), slot[new] // BLOCK, np.maximum.reduceat(weight, new) if len(new) else np.zeros(0), np.append(new, len(slot)), slot, weight, ids[order], truth[order])
+
+    @property
+    def rows(self) -> Rows:
+        """The examples, in the order of the index."""
+        term = np.repeat(np.repeat(np.arange(len(self.first) - 1), np.diff(self.first)), np.diff(self.begin))
+        by = np.lexsort((term, self.slot))
+        return Rows(np.searchsorted(self.slot[by], np.arange(len(self.ids) + 1)), term[by], self.weight[by])
+
+    @property
+    def postings(self) -> list[np.ndarray]:
+        """Blocks written out, terms x slots."""
+        full, rows = np.zeros((len(self.ids), len(self.first) - 1)), self.rows
+        full[np.repeat(np.arange(len(rows)), np.diff(rows.cuts)), rows.terms] = rows.weights
+        return [full[a : a + BLOCK].T for a in range(0, len(full), BLOCK)]
+
+    def nearest(self, queries: Rows | np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Similarities and positions of the k nearest examples of each query; equals by position. -1: there are fewer.
 
         ``skip``: the position that a query may not find. Similarities are compared to 2**-30.
         """
-        bound = queries @ self.largest.T + 2.0**-28
-        best = np.full((len(queries), k), -1, np.int64)  # similarity and position in one number, larger is nearer
-        spread = np.int64(1 << 24)
-        for b in np.argsort(-bound.max(0), kind="stable"):
-            open_ = np.flatnonzero((bound[:, b] * 2**30).astype(np.int64) * spread + spread > best[:, -1])
-            if not len(open_):
-                continue
-            sims = queries[open_] @ self.postings[b]
-            at = self.first[b] + np.arange(sims.shape[1])
-            keys = np.rint(np.maximum(sims, 0) * 2**30).astype(np.int64) * spread + (spread - 1 - at)
-            if skip is not None:
-                keys[at[None] == skip[open_, None]] = -1
-            best[open_] = -np.sort(-np.concatenate([best[open_], keys], 1), axis=1)[:, :k]
-        found = best >= 0
-        return np.where(found, best // spread / 2**30, 0.0), np.where(found, spread - 1 - best % spread, -1)
+        queries, n = Rows.of(queries), len(self.ids)
+        sims, where = np.zeros((len(queries), k)), np.full((len(queries), k), -1)
+        blocks, most = -(-n // BLOCK), min(k, n)
+        for i in range(len(queries) if n else 0):
+            terms, weights = queries.row(i)
+            starts = self.first[terms]
+            sizes = self.first[terms + 1] - starts
+            at = _ranges(starts, sizes)
+            own = np.repeat(weights, sizes)
+            block = self.block[at]
+            bound = np.bincount(block, own * self.largest[at], blocks) + 2.0**-28
+            keys = np.full(n, -1, np.int64)
+            opened = np.zeros(blocks, bool)
+            best = np.zeros(0, np.int64)
+            while True:
+                ahead = ~opened
+                if not opened.any():
+                    ahead[np.argsort(-bound, kind="stable")[FIRST:]] = False
+                elif len(best) == most:
+                    ahead &= bound * 2**30 >= keys[best].min()
+                if not ahead.any():
+                    break
+                use = np.flatnonzero(ahead[block])
+                size = self.begin[at[use] + 1] - self.begin[at[use]]
+                post = _ranges(self.begin[at[use]], size)
+                found = np.bincount(self.slot[post], self.weight[post] * np.repeat(own[use], size), n)
+                slots = np.flatnonzero(np.repeat(ahead, BLOCK)[:n])
+                keys[slots] = np.rint(found[slots] * 2**30)
+                if skip is not None:
+                    keys[skip[i]] = -1
+                opened |= ahead
+                # The k largest, of equals the first: all above the k-th, and of its equals as many as are wanted
+                have = np.flatnonzero(keys >= 0)
+                if len(have) > most:
+                    least = np.partition(keys[have], len(have) - most)[len(have) - most]
+                    above = have[keys[have] > least]
+                    have = np.concatenate([above, have[keys[have] == least][: most - len(above)]])
+                best = have
+            best = best[np.lexsort((best, -keys[best]))]
+            sims[i, : len(best)], where[i, : len(best)] = keys[best] / 2**30, best
+        return sims, where
+
+    def said(self, sims: np.ndarray, where: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """What the calibration sees: the neighbours' votes, what the terms tell, and ones."""
+        return np.stack([_log_odds(self.votes(sims, where)), told, np.ones(len(told))], 1)
 
     def votes(self, sims: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Share of label 1 among the neighbours, each with the weight of its closeness."""
-        weight = np.where(where >= 0, 1 / (1.05 - np.minimum(sims, 1)), 0)
+        weight = np.where(where >= 0, 1 / (1.05 - np.minimum(sims, 1)) ** 2, 0)  # so a copy outvotes all others
         return (weight * self.truth[where]).sum(1) / np.maximum(weight.sum(1), 1e-12)
 
 
-def calibrated(votes: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
-    """Logistic curve over the log odds of the votes, by Newton steps with a little ridge."""
-    x = np.stack([_log_odds(votes), np.ones(len(votes))], 1)
-    w = np.array([1.0, 0.0])
+def calibrated(x: np.ndarray, truth: np.ndarray) -> np.ndarray:
+    """Logistic curve over the columns of ``x``, the last of them ones, by Newton steps with a little ridge."""
+    begin = np.array([1.0] * (x.shape[1] - 1) + [0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - truth * z).sum() + 0.25 * ((w - begin) ** 2).sum())
+
+    w = begin.copy()
     for _ in range(30):
         p = 1 / (1 + np.exp(-x @ w))
-        grad = x.T @ (p - truth) + 0.5 * (w - np.array([1.0, 0.0]))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(2), grad)
-    return float(max(w[0], 1e-3)), float(w[1])
+        grad = x.T @ (p - truth) + 0.5 * (w - begin)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(x.shape[1]), grad)
+        while loss(w - step) > loss(w) and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w = w - step
+    w[:-1] = np.maximum(w[:-1], 1e-3)
+    return w
 
 
 def _log_odds(votes: np.ndarray) -> np.ndarray:
@@ -165,69 +297,116 @@ def _log_odds(votes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    vocabulary: list[bytes]
+    number: dict[bytes, int]  # of the examples' terms
     idf: np.ndarray
+    known: dict[int, float]  # inverse document frequencies of other terms, by hash
+    telling: dict[bytes, float]
     index: Index
-    curve: tuple[float, float]
-    empty: float  # for a text without a term of the vocabulary
-
-    def judge(self, terms: list[list[int]], counts: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scores, and each row's neighbours (positions) with their similarities."""
-        score = np.full(len(terms), self.empty)
-        where, sims = np.full((len(terms), NEIGHBOURS), -1), np.zeros((len(terms), NEIGHBOURS))
-        some = np.array([i for i, t in enumerate(terms) if t], np.int64)
-        if len(self.index.ids):
-            some = sorted(some, key=lambda i: terms[i])  # like queries together open the same blocks
-            for a in range(0, len(some), BATCH):
-                rows = some[a : a + BATCH]
-                sims[rows], where[rows] = self.index.nearest(vectors([terms[i] for i in rows], [counts[i] for i in rows], self.idf), NEIGHBOURS)
-                a_, b_ = self.curve
-                score[rows] = 1 / (1 + np.exp(-(a_ * _log_odds(self.index.votes(sims[rows], where[rows])) + b_)))
-        return np.round(score, 9), where, sims
-
-
-def fit(sample: list[tuple[int, str, int]], vocabulary: list[bytes], idf: np.ndarray) -> Model:
-    number = {w: i for i, w in enumerate(vocabulary)}
-    rows = [Counter(i for i in map(number.get, terms_of(t.encode())) if i is not None) for _, t, _ in sample]
+    curve: np.ndarray
+    empty: float  # for a text without a term
+
+    def weighed(self, counts: Counter) -> tuple[np.ndarray, np.ndarray, float, float, list[tuple[int, float]]]:
+        """Terms of the examples with their weights, the others' squared length, what the terms tell, and the rest."""
+        own, other, rest = [], 0.0, []
+        for w, c in counts.items():
+            i = self.number.get(w)
+            if i is not None:
+                own.append((i, c))
+                continue
+            h = hash_of(w)
+            idf = self.known.get(h)
+            if idf is None:
+                rest.append((h, (1 + np.log(c)) ** 2))
+            else:
+                other += ((1 + np.log(c)) * idf) ** 2
+        own.sort()
+        t = np.array([i for i, _ in own], np.int64)
+        return t, (1 + np.log(np.array([c for _, c in own], float))) * self.idf[t], other, float(np.clip(sum(v for w, v in self.telling.items() if w in counts), -MOST_TOLD, MOST_TOLD)), rest
+
+    def judged(self, sims: np.ndarray, where: np.ndarray, told: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Scores by the neighbours (positions) with their similarities. ``some``: which rows have a term."""
+        if not len(self.index.ids):
+            return np.full(len(some), round(self.empty, 9))
+        x = self.index.said(sims, where, told)
+        return np.round(np.where(some, 1 / (1 + np.exp(-x @ self.curve)), self.empty), 9)
+
+
+def fit(sample: list[tuple[int, str, int]], number: dict[bytes, int], idf: np.ndarray, known: dict[int, float]) -> Model:
+    counts = [Counter(terms_of(t.encode())) for _, t, _ in sample]
     truth = np.array([y for _, _, y in sample], float)
-    x = vectors([sorted(r) for r in rows], [[r[k] for k in sorted(r)] for r in rows], idf)
-    some = np.array([bool(r) for r in rows], bool)
+    some = np.array([bool(c) for c in counts], bool)
     share = lambda y: float((y.sum() + 0.1) / (len(y) + 1)) if len(y) else 0.1
-    index = Index.of(x[some], np.array([i for i, _, _ in sample], np.int64)[some], truth[some])
-    curve = (1.0, 0.0)
-    if len(index.ids) > NEIGHBOURS:
-        own = np.concatenate([p.T for p in index.postings])
-        votes = [index.votes(*index.nearest(own[a : a + BATCH], NEIGHBOURS, np.arange(a, min(a + BATCH, len(own))))) for a in range(0, len(own), BATCH)]
-        curve = calibrated(np.concatenate(votes), index.truth)
-    return Model(vocabulary, idf, index, curve, share(truth[~some]))
+    telling = choose_terms([t.encode() for _, t, _ in sample], truth)
+    model = Model(number, idf, known, telling, None, np.array([1.0, 1.0, 0.0]), share(truth[~some]))
+    found = [model.weighed(c) for c in counts if c]
+    x = Rows.joined([(t, w / np.sqrt(w @ w)) for t, w, *_ in found])
+    ids = np.array([i for i, _, _ in sample], np.int64)[some]
+    place = np.arange(len(ids))
+    model.index = Index.of(x, ids, truth[some])
+    order = Index.of(x, ids, place).truth  # where each slot's example stands in the sample
+    if len(ids) > NEIGHBOURS:
+        sims, where = model.index.nearest(model.index.rows, NEIGHBOURS, place)
+        told = np.array([f[3] for f in found])[order]
+        model.curve = calibrated(model.index.said(sims, where, told), model.index.truth)
+    return model
 
 
 def toxicity(docs: DataFrame, sample: list[tuple[int, str, int]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, score, and ``evidence``, the nearest examples with id, label and similarity.
 
-    Document counts of terms are taken over all of ``docs``. A text without a term of the vocabulary, also a null or
-    empty one, has no evidence and the score of the examples without one. Ids may be null or repeat. Without examples
-    of both labels the vocabulary is empty. Other columns aren't read.
+    Cosines are over all terms of both texts; document counts of terms are taken over all of ``docs``. A text without a
+    term, also a null or empty one, has no evidence and the score of the examples without one. Ids may be null or
+    repeat. Other columns aren't read.
     """
-    vocabulary = choose_terms([t.encode() for _, t, _ in sample], np.array([y for _, _, y in sample], float))
-    rows = stored(counted(docs, vocabulary, id_col, text_col), "terms")
-    n = rows.count()
-    found = {r["term"]: r["n"] for r in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row per term
-    idf = np.array([np.log(1 + n / found.get(i, 1)) for i in range(len(vocabulary))])
-    shared = docs.sparkSession.sparkContext.broadcast(fit(sample, vocabulary, idf))
+    session = docs.sparkSession
+    number = {w: i for i, w in enumerate(sorted({w for _, t, _ in sample for w in terms_of(t.encode())}))}
+    counts = document_counts(docs, text_col)
+    n = docs.count()
+    hashes = {hash_of(w): i for w, i in number.items()}
+    wanted = session.createDataFrame(pa.table({"hash": pa.array(list(hashes), pa.int64())}))  # terms of the bounded sample
+    of = np.ones(len(number))
+    for r in counts.join(F.broadcast(wanted), "hash").collect():
+        of[hashes[r["hash"]]] = r["n"]
+    known = {h: float(np.log(1 + n / c)) for h, c in commonest(counts, KNOWN)}
+    shared = session.sparkContext.broadcast(fit(sample, number, np.log(1 + n / of), known))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, part, at = shared.value, TaskContext.get().partitionId(), 0
+        for batch in batches:
+            found = [model.weighed(Counter(terms_of(x or b""))) for x in batch.column(1).to_pylist()]
+            sims, where = model.index.nearest(Rows.joined([f[:2] for f in found]), NEIGHBOURS)
+            rows = pa.array(np.arange(at, at + batch.num_rows) + (part << 40))
+            at += batch.num_rows
+            ends = np.cumsum([0, *(len(f[4]) for f in found)])
+            rest = pa.StructArray.from_arrays([pa.array([h for f in found for h, _ in f[4]], pa.int64()), pa.array([v for f in found for _, v in f[4]], pa.float64())], ["hash", "square"])
+            yield pa.RecordBatch.from_arrays(
+                [rows, batch.column(0), pa.array([len(f[0]) + len(f[4]) + (f[2] > 0) > 0 for f in found]), pa.array([float(f[1] @ f[1]) + f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64()),
+                 pa.array(list(where), pa.list_(pa.int64())), pa.array(list(sims), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
+                ["row", "id", "some", "square", "told", "where", "products", "rest"],
+            )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            score, where, sims = model.judge(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+            some, square, told = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            where = np.array(batch.column(4).to_pylist(), np.int64).reshape(-1, NEIGHBOURS)
+            sims = np.array(batch.column(5).to_pylist(), float).reshape(-1, NEIGHBOURS) / np.sqrt(np.maximum(square, 1e-24))[:, None]
+            score = model.judged(sims, where, told, some)
             ids, truth = model.index.ids, model.index.truth
-            evidence = [[{"id": int(ids[j]), "label": int(truth[j]), "similarity": round(float(s), 6)} for j, s in zip(w, v, strict=True) if j >= 0] for w, v in zip(where[:, :3], sims[:, :3], strict=True)]
+            evidence = [[{"id": int(ids[j]), "label": int(truth[j]), "similarity": round(float(s), 6)} for j, s in zip(w, v, strict=True) if j >= 0 and e] for w, v, e in zip(where[:, :3], sims[:, :3], some, strict=True)]
             kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(evidence, kind)], ["id", "score", "evidence"])
 
+    id_type = docs.schema[id_col].dataType
+    pair = T.StructType([T.StructField("hash", T.LongType()), T.StructField("square", T.DoubleType())])
+    fields = [("row", T.LongType()), ("id", id_type), ("some", T.BooleanType()), ("square", T.DoubleType()), ("told", T.DoubleType()), ("where", T.ArrayType(T.LongType())), ("products", T.ArrayType(T.DoubleType())), ("rest", T.ArrayType(pair))]
+    rows = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(weigh, T.StructType([T.StructField(*f) for f in fields])), "weighed")
+    rare = rows.select("row", F.explode("rest").alias("x")).select("row", "x.hash", F.col("x.square").alias("part")).join(counts, "hash")
+    more = rare.groupBy("row").agg(F.sum(F.col("part") * F.pow(F.log(1 + n / F.col("n")), 2)).alias("more"))
+    whole = rows.drop("rest").join(more, "row", "left").select("id", "some", (F.col("square") + F.coalesce("more", F.lit(0.0))).alias("square"), "told", "where", "products")
     item = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(item))])
-    return rows.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("score", T.DoubleType()), T.StructField("evidence", T.ArrayType(item))])
+    return whole.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
