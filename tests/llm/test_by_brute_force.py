@@ -130,6 +130,30 @@ def test_redaction_masks_every_span(docs, rows):
     assert found[1]["text"] is None and found[0]["n_chars"] == -1
 
 
+def test_redaction_leaves_nothing_of_a_private_key(spark):
+    luck = np.random.default_rng(3)
+    line = lambda n: "".join(luck.choice([*"abcXYZ019+/"], n))
+    lines = [line(64), line(64), line(9)]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    kept = [("bé ", " after it"), ("", "\nA word, and more."), ("x ", "")]
+    bodies = ["\n{}\n", "\r\n{}\r\n", "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0AB1\n\n{}\n", "\\n{}\\n"]
+    texts, want = [], []
+    for before, after in kept:
+        for form in bodies:
+            body = form.format(("\\n" if form[0] == "\\" else "\n").join(lines))
+            texts += [before + begin + body + end + after, before + begin + body.rstrip("\r\n") + "\n\nAn open key. " + begin + "\n" + lines[0] + "\n" + lines[2]]
+            want += [before + "[secret]" + after, None]
+    texts += [begin + " alone is a header", "no key"]
+    want += ["[secret] alone is a header", "no key"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()]
+    for t, g, w in zip(texts, got, want, strict=True):
+        assert not any(x in g for x in lines), (t, g)
+        assert g == w if w is not None else "An open key. [secret]" in g
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.find_secrets(df).collect()}
+    assert [(s["start"], s["end"]) for s in spans[0] if s["kind"] == "private_key"] == [(3, len(texts[0]) - len(" after it"))]
+
+
 def test_quality_figures(docs, rows, small, small_rows):
     for df, plain in both(docs, rows, small, small_rows):
         want = Counter()

@@ -56,9 +56,15 @@ BASE = (
     Rule("access", rb"AKIA[A-Z0-9]+", 0, 18),
     Rule("hex", rb"[0-9a-f]{16,}", 0, 16),
 )
+# A private key goes on to its END line; if there is none before the next dashes, to the end of its base64 lines, which
+# may come after lines like "Proc-Type: 4,ENCRYPTED", be quoted or have their breaks escaped.
+_KEY_BEGIN = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+_TO_KEY_END = rb"(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----"
+_BREAK = rb"(?:[\x09-\x0D\x20\"',>|]|\\[nr])*"
+_KEY_LINES = rb"(?:(?:[\x09-\x0D\x20>]*[A-Z][A-Za-z-]*:\x20[^\n]*\n)*" + _BREAK + rb"[A-Za-z0-9+/]{16,}={0,2})+(?:" + _BREAK + rb"[A-Za-z0-9+/]+(?:={1,2}|[\"\x27]|\\[nr]|\r?(?m:$)))?"
 # Public formats of keys that the base kinds miss.
 MORE = (
-    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _KEY_BEGIN + rb"(?:" + _TO_KEY_END + rb"|" + _KEY_LINES + rb")?"),
     Rule("session_key", rb"ASIA[A-Z0-9]{16,}"),
     Rule("forge_token", rb"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
