@@ -300,6 +300,22 @@ def test_unigram_base_and_probabilities(docs, rows, spark):
     assert sum(r["score"] for r in got) > sum(r["base_score"] for r in got)
 
 
+def test_every_training_document_is_trained(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id AS doc_id", "repeat(concat('some words of ', id, ' '), 20) AS text").repartition(3)
+    v = language_model.vocabulary(language_model.word_counts(df, "text"))
+    net = language_model.start_network(v)
+
+    def seen(v, streams, begin, **more):  # a network that holds how often it has seen each symbol
+        out = begin.copy()
+        out.word_bias += np.bincount(np.concatenate(streams), minlength=v.head)[: v.head]
+        return out
+
+    monkeypatch.setattr(language_model, "train", seen)
+    empty = language_model.Network(*(np.zeros_like(p) for p in net.parts()))
+    got = language_model.refined(df, v, empty, "text").word_bias
+    assert got * 3 == pytest.approx(v.counts[: v.head], rel=0.1)  # the mean of three copies
+
+
 def test_language_model_sums_to_one():
     words = [b"", *(f"w{i}".encode() for i in range(300))]
     counts = np.arange(301, 0, -1)

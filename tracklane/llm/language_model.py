@@ -4,8 +4,8 @@ Word counts over all training documents give the vocabulary. Frequent words, in
 predicted by a class softmax and a softmax within the class; every other word belongs to one of a few tail classes by
 its ending, and has its share of the class by count, with room for unseen words. So the model is a probability over all
 texts. It starts out as the unigram model of the counts. Truncated back-propagation on a seeded sample of training
-documents gives it a start; then every partition goes on training it on a fixed share of its own documents, and the
-copies are averaged by the tokens they have seen. Scoring carries the state of each document from window to window
+documents gives it a start; then every partition goes on training it on all of its own documents, and the copies are
+averaged by the tokens they have seen. Scoring carries the state of each document from window to window
 until its end.
 
 Counts of the commonest words travel with the model; the counts of other words, whose number grows with the corpus,
@@ -35,8 +35,8 @@ HEAD, CLASS, TAILS, STATE = 2048, 64, 16, 16
 KNOWN = 1 << 17
 #: Documents that the recurrent part starts from, on average; lanes, window and passes of that training.
 TRAIN_DOCS, LANES, WINDOW, PASSES = 1500, 64, 16, 2
-#: The share of all training documents that partitions go on with (one in so many), lanes, and tokens trained at once.
-ONE_IN, MANY_LANES, BATCH_TOKENS = 12, 128, 1 << 20
+#: Lanes of the training in partitions, and tokens trained at once.
+MANY_LANES, BATCH_TOKENS = 128, 1 << 20
 #: Groups in which copies of the network are averaged, level by level; the driver averages those of the last.
 GROUPS = (64, 8)
 #: Documents scored side by side, and tokens between two rounds of the output layer.
@@ -314,7 +314,7 @@ def numbered(v: Vocabulary, text: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) -> Network:
-    """The network after each partition has trained it on its share of the documents, averaged by tokens.
+    """The network after each partition has trained it on all of its documents, averaged by tokens.
 
     A partition sends one copy, whatever its size; copies are averaged in levels of GROUPS tasks, and the driver gets
     one from each of the last. Copies are added up in the order of their partitions, so reruns agree.
@@ -350,8 +350,7 @@ def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) ->
             yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "seen", "sums"])
 
     schema = "part int, seen long, sums binary"
-    chosen = training.filter(F.pmod(F.xxhash64(F.col(text_col), F.lit(9)), F.lit(ONE_IN)) == 0).select(F.col(text_col).cast("binary").alias("t"))
-    copies = stored(chosen.mapInArrow(run, schema), "networks")
+    copies = stored(training.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema), "networks")
     for groups in GROUPS:
         copies = copies.repartition(groups, F.pmod("part", F.lit(groups))).sortWithinPartitions("part").mapInArrow(add, schema)
     found = sorted(copies.collect(), key=lambda r: r["part"])
