@@ -316,6 +316,12 @@ def test_every_training_document_is_trained(spark, monkeypatch):
     assert got * 3 == pytest.approx(v.counts[: v.head], rel=0.1)  # the mean of three copies
 
 
+def test_copies_are_drawn_in_proportion(spark):
+    df = spark.range(30000).selectExpr("if(id % 5 = 0, null, id) AS doc_id", "if(id % 3 = 0, 'the same text', concat('text ', id)) AS text")
+    drawn = [bytes(r["t"]) for r in language_model.start_sample(df, 0.05, "doc_id", "text").collect()]
+    assert len(drawn) == pytest.approx(1500, rel=0.15) and drawn.count(b"the same text") == pytest.approx(500, rel=0.25)
+
+
 def test_language_model_sums_to_one():
     words = [b"", *(f"w{i}".encode() for i in range(300))]
     counts = np.arange(301, 0, -1)

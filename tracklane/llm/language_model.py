@@ -364,6 +364,16 @@ def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) ->
     return Network(*parts)
 
 
+def start_sample(training: DataFrame, share: float, id_col: str, text_col: str) -> DataFrame:
+    """About ``share`` of the rows, as ``t``, each drawn by itself: copies of a text come in proportion.
+
+    Drawn by id and text; rows without an id, which nothing tells apart, by their place.
+    """
+    place = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    drawn = training.select(F.col(text_col).cast("binary").alias("t"), F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), place, F.lit(7)), F.lit(1 << 40)).alias("luck"))
+    return drawn.filter(F.col("luck") < int(share * (1 << 40))).select("t")
+
+
 def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_tokens, n_known, train_tokens, base_score and score, log10 of probabilities.
 
@@ -377,8 +387,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     v = vocabulary(counts)
     rows_to_learn = int(v.counts[v.end])
     share = min(1.0, TRAIN_DOCS / max(rows_to_learn, 1))
-    luck = F.pmod(F.xxhash64(F.col(text_col), F.lit(7)), F.lit(1 << 20))
-    sample = training.filter(luck < int(share * (1 << 20)) + 1).select(F.col(text_col).cast("binary").alias("t")).limit(2 * TRAIN_DOCS).collect()
+    sample = start_sample(training, share, id_col, text_col).collect()
     streams = [symbols(v, *numbered(v, bytes(r["t"] or b""))[:2]) for r in sorted(sample, key=lambda r: bytes(r["t"] or b""))]
     net = refined(training, v, train(v, streams), text_col)
     shared = session.sparkContext.broadcast((v, net.parts()))
