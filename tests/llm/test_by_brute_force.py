@@ -322,6 +322,15 @@ def test_copies_are_drawn_in_proportion(spark):
     assert len(drawn) == pytest.approx(1500, rel=0.15) and drawn.count(b"the same text") == pytest.approx(500, rel=0.25)
 
 
+def test_small_partitions_train_too(spark):
+    df = spark.createDataFrame([(i, f"few words {i}") for i in range(12)], "doc_id long, text string").repartition(6)
+    v = language_model.vocabulary(language_model.word_counts(df, "text"))
+    net = language_model.start_network(v)
+    assert not np.allclose(language_model.refined(df, v, net, "text").words, net.words)
+    unlike = lambda *streams: language_model.train(v, list(map(np.array, streams)), passes=1, lanes=1)
+    assert not np.allclose(unlike([1] * 16 + [2]).words, unlike([1] * 16 + [3]).words)  # the last token counts too
+
+
 def test_language_model_sums_to_one():
     words = [b"", *(f"w{i}".encode() for i in range(300))]
     counts = np.arange(301, 0, -1)

@@ -213,25 +213,22 @@ def train(v: Vocabulary, streams: list[np.ndarray], seed: int = 0, passes: int =
         order = luck.permutation(len(streams))
         outs = np.concatenate([streams[i] for i in order])
         ins = np.concatenate([np.concatenate([[start], streams[i][:-1]]) for i in order])
-        length = len(outs) // lanes
-        if length < WINDOW:
-            outs, ins = np.resize(outs, lanes * WINDOW), np.resize(ins, lanes * WINDOW)
-            length = WINDOW
-        outs, ins = outs[: lanes * length].reshape(lanes, length), ins[: lanes * length].reshape(lanes, length)
+        length = max(-(-len(outs) // lanes), WINDOW)
+        outs, ins = np.resize(outs, (lanes, length)), np.resize(ins, (lanes, length))  # the last lane is filled from the first
         h = np.zeros((lanes, STATE), np.float32)
-        for a in range(0, length - WINDOW + 1, WINDOW):
+        for a in range(0, length, WINDOW):
             x, y = ins[:, a : a + WINDOW], outs[:, a : a + WINDOW]
-            kept, hs = [], []
-            for t in range(WINDOW):
+            width, kept, hs = x.shape[1], [], []
+            for t in range(width):
                 h = np.where((x[:, t] == start)[:, None], np.float32(0), h)
                 before = h
                 h, z, r, q, n = _step(net, x[:, t], h)
                 kept.append((before, z, r, q, n))
                 hs.append(h)
             grads = [np.zeros_like(p) for p in net.parts()]
-            dh_out = _output_gradient(net, v, np.concatenate(hs), y.T.ravel(), grads).reshape(WINDOW, lanes, STATE)
+            dh_out = _output_gradient(net, v, np.concatenate(hs), y.T.ravel(), grads).reshape(width, lanes, STATE)
             dh = np.zeros_like(h)
-            for t in reversed(range(WINDOW)):
+            for t in reversed(range(width)):
                 before, z, r, q, n = kept[t]
                 dh = dh + dh_out[t]
                 dn, dz = dh * (1 - z) * (1 - n * n), dh * (before - n) * z * (1 - z)
@@ -335,8 +332,9 @@ def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) ->
                 held += len(stream)
                 if held >= BATCH_TOKENS:
                     model, seen, streams, held = train(own, streams, passes=1, rate=0.003, lanes=MANY_LANES, begin=model), seen + held, [], 0
-        if held >= MANY_LANES * WINDOW:
-            model, seen = train(own, streams, passes=1, rate=0.003, lanes=MANY_LANES, begin=model), seen + held
+        if held:
+            lanes = min(MANY_LANES, max(1, held // WINDOW))
+            model, seen = train(own, streams, passes=1, rate=0.003, lanes=lanes, begin=model), seen + held
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat(model.parts()) * seen).tobytes()], pa.binary())], ["part", "seen", "sums"])
 
