@@ -2,6 +2,7 @@
 
 import json
 import struct
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from tracklane.errors import AudioEmpty, AudioError, BackendError, DownloadError
 from tracklane.operators import regions
 from tracklane.plans import backends, conversion, registry
 from tracklane.plans.transcription import SpeechModel, StreamingModel
+from tracklane.sources import containers
 from tracklane.sources.audio import decoded, signals
 from tracklane.streaming.regions import region_stream
 
@@ -74,6 +76,172 @@ def test_decoding():
     assert issubclass(AudioError, ValueError) and issubclass(ModelNotFound, OSError) and issubclass(BackendError, RuntimeError)
 
 
+class Boxed:
+    """A container for tests: a track of pictures, then sound in packets of 100 ticks, one of them broken."""
+
+    tracks = (containers.Track(0, False), containers.Track(1, True, RATE, Fraction(1, 1000)), containers.Track(2, True, 8000))
+
+    def __init__(self, content: bytes, path: str):
+        self.ends_early = content == b"early"
+
+    def packets(self):
+        yield containers.Packet(0, 100, b"picture")
+        yield containers.Packet(1, 100, b"1")
+        yield containers.Packet(2, 100, b"1")
+        yield containers.Packet(1, 33, b"broken")
+        if self.ends_early:
+            raise EOFError("no more bytes")
+        yield containers.Packet(1, 100, b"2")
+
+    def decode(self, packet):
+        if packet.data == b"broken":
+            raise containers.CorruptPacket("bad sync")
+        return np.full(2 * packet.ticks * RATE // 1000, float(packet.data) / 4, np.float32), 2
+
+
+@pytest.fixture
+def boxed():
+    containers.register_container("BOX", Boxed)
+    yield
+    containers.register_container("box", None)
+
+
+def test_containers(spark, tmp_path, boxed):
+    rate, samples = decoded(b"whole", "a.Box")
+    assert rate == RATE and len(samples) == 1600 + 528 + 1600 and (samples[:1600] == 0.25).all() and not samples[1600:2128].any() and (samples[2128:] == 0.5).all()
+    with pytest.raises(AudioError, match="no more bytes"):
+        decoded(b"early", "a.box")
+    with pytest.raises(AudioError, match="nothing is registered"):
+        decoded(b"whole", "a.unknown")
+    (tmp_path / "x.box").write_bytes(b"whole")
+    assert [len(r["samples"]) for r in signals(spark, str(tmp_path / "x.box")).collect()] == [3728]
+
+    class Other:
+        def __init__(self, *tracks):
+            self.tracks = tracks
+
+        def packets(self):
+            return [containers.Packet(1, 7)]
+
+        def decode(self, packet):
+            raise containers.CorruptPacket
+
+    assert len(containers.read(Other(containers.Track(1, True, RATE)))[1]) == 7  # without a tick, lengths are in frames
+    for tracks in ((), (containers.Track(1, False),), (containers.Track(3, True, RATE),)):
+        with pytest.raises(AudioEmpty):
+            containers.read(Other(*tracks))
+    with pytest.raises(AudioError, match="sample rate"):
+        containers.read(Other(containers.Track(1, True)))
+
+
+def test_scorers():
+    noise = np.random.default_rng(2).normal(0, 0.01, 3 * RATE).astype(np.float32)
+    x = np.concatenate([noise, tone(2) + noise[: 2 * RATE], noise[:RATE]])
+    p = backends.Gate().probabilities(x)
+    assert set(p) == {0.0, 1.0} and len(p) == -(-len(x) // 480) and p[100:].sum() == pytest.approx(2 * RATE / 480, abs=4)
+    assert not backends.Gate().probabilities(np.zeros(1000, np.float32)).any() and len(backends.Gate().probabilities(np.zeros(0, np.float32))) == 0
+    assert backends.Gate().probabilities(tone(60)).all()  # a long sound doesn't become noise
+    assert not backends.Gate.graded and backends.Loudness.graded and backends.factory("scorer") is backends.Gate
+
+
+def test_backends_are_told_apart():
+    a, b = (lambda k: lambda: ("made", k))(1), (lambda k: lambda: ("made", k))(2)
+    assert backends._backend(a) == ("made", 1) and backends._backend(b) == ("made", 2)
+    assert backends._backend(a) is backends._backend(a)
+
+
+def test_embedded_diariser():
+    x = np.concatenate([tone(2, hertz=200), tone(2, hertz=1500), tone(1, hertz=200)])
+    assert backends.ByBand().turns(x, 8, None) == [(0.0, 2.0, 0), (2.0, 4.0, 1), (4.0, 5.0, 0)]
+    assert backends.ByBand().turns(x, 8, 1) == [(0.0, 5.0, 0)] and backends.ByBand().turns(x, 1, None) == [(0.0, 5.0, 0)]
+    assert backends.ByBand().turns(np.zeros(100, np.float32), 8, None) == []
+
+
+def test_sample_arrays():
+    import pyarrow as pa
+
+    from tracklane.operators.signal import arrays
+
+    column = pa.array([[1.0, 2.0], None, [], [3.0]], pa.list_(pa.float32()))
+    assert [x.tolist() for x in arrays(column)] == [[1, 2], [], [], [3]] and [x.tolist() for x in arrays(column.slice(2))] == [[], [3]]
+
+
+def test_files_are_fetched_one_by_one(tmp_path):
+    asked = []
+
+    def get(repo, name):
+        asked.append(name)
+        if name.endswith(("vocabulary.json", "encoder.onnx.data")):
+            raise FileNotFoundError(name)
+        if name.endswith("vocabulary.txt"):
+            raise OSError("connection lost")
+        to = tmp_path / repo / name
+        to.parent.mkdir(parents=True, exist_ok=True)
+        to.write_text("{}")
+        return str(to)
+
+    assert registry.ensure_model("owner/name", fetch=registry.fetcher(get)) == str(tmp_path / "owner/name")
+    assert asked == [*registry.WINDOWED_FILES, *registry.WINDOWED_EXTRAS]
+    asked.clear()
+    path = registry.ensure_model("nemotron", streaming=True, fetch=registry.fetcher(get, streaming=True))
+    assert path.endswith(registry.ALIASES["nemotron"][1]) and len(asked) == 4
+
+    def refuse(repo, name):
+        raise FileNotFoundError(name)
+
+    with pytest.raises(DownloadError, match="model.bin"):
+        registry.ensure_model("tiny", fetch=registry.fetcher(refuse))
+
+
+def test_feature_settings(tmp_path):
+    registry.ensure_features(str(tmp_path), "tiny")
+    made = registry.feature_settings(str(tmp_path))
+    assert (made.feature_size, made.hop_length, made.n_fft, made.nb_max_frames, made.sampling_rate) == (80, 160, 400, 3000, RATE) and made.mel_filters.shape == (80, 201)
+    file = tmp_path / "preprocessor_config.json"
+    given = json.loads(file.read_text())
+    file.write_text(json.dumps(given | {"mel_filters": [[1.0, 2.0], [3.0, 4.0]]}))
+    assert registry.feature_settings(str(tmp_path)).mel_filters.tolist() == [[1, 2], [3, 4]]
+    for wrong in (json.dumps(given | {"mel_filters": [[1.0], [3.0, 4.0]]}), "{}", "no json"):
+        file.write_text(wrong)
+        with pytest.raises(BackendError):
+            registry.feature_settings(str(tmp_path))
+
+
+def test_converter_and_its_command_line(tmp_path, monkeypatch, capsys):
+    tool = tmp_path / "bin" / conversion.CONVERTER
+    tool.parent.mkdir()
+    tool.write_text('#!/bin/sh\necho "$@" > "$4.args"; [ "$2" = bad ] && { echo wrong model >&2; exit 3; }; mkdir -p "$4"\n')
+    tool.chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tool.parent}:/usr/bin:/bin")
+    out = str(tmp_path / "out")
+    assert conversion.main(["m", out, "--quantization", "int8"]) == 0 and capsys.readouterr().out.strip() == out
+    assert open(out + ".args").read().split() == ["--model", "m", "--output_dir", out, "--quantization", "int8"]
+    assert conversion.main(["m", out]) == 1 and "force" in capsys.readouterr().err
+    assert conversion.convert_model("m", out, force=True) == out
+    assert conversion.main(["bad", str(tmp_path / "new")]) == 1 and "wrong model" in capsys.readouterr().err
+
+
+def test_logging_leaves_the_programs_own(monkeypatch):
+    import logging
+
+    from tracklane import logs
+
+    own, root = logging.getLogger("tracklane"), logging.getLogger()
+    monkeypatch.setattr(root, "handlers", [])
+    monkeypatch.setattr(own, "handlers", [])
+    try:
+        assert logs.start_logging("error,tracklane.plans=debug,odd=loud") and own.level == logging.ERROR and logging.getLogger("tracklane.plans").level == logging.DEBUG
+        assert not logs.start_logging()
+    finally:
+        own.setLevel(logging.NOTSET)
+        logging.getLogger("tracklane.plans").setLevel(logging.NOTSET)
+
+
+def test_time_marks_are_rounded():
+    index = lambda x: params.DecodeOptions(max_initial_timestamp=x).max_initial_timestamp_index
+    assert [index(x) for x in (1.0, 0.0, 0.01, 0.0099, 2.5)] == [50, 0, 1, 0, 125]
+
+
 def test_signals_are_resampled(spark, tmp_path):
     (tmp_path / "a.wav").write_bytes(wav(tone(1, 44_100), 44_100, 2))
     (tmp_path / "b.wav").write_bytes(wav(tone(0.5)))
@@ -94,7 +262,10 @@ def test_transcription(spark, tmp_path, backend, model_dir):
     found, info = model.transcribe(str(tmp_path / "a.wav"), language="fr", vad_filter=False)
     assert info.language == "fr" and info.language_probability is None and info.duration_after_vad == info.duration
     assert [s.start for s in found] == [0.0, 30.0]
-    assert repr(out[0]).startswith("Segment(id=0, start=2.98")
+    with pytest.raises(AudioError, match="several"):
+        (tmp_path / "b.wav").write_bytes(wav(tone(1)))
+        model.transcribe(str(tmp_path / "*.wav"))
+    assert repr(out[0]).startswith("Segment(id=0, start=3.00")
 
 
 def test_speakers_in_the_dataflow(spark, tmp_path, backend, model_dir):
@@ -128,7 +299,7 @@ def test_parameters(spark, backend, model_dir):
     for most, k in ((256, None), (0, None), (8, 0), (4, 5)):
         with pytest.raises(BackendError):
             params.checked_speakers(True, most, k)
-    with pytest.warns(UserWarning, match="no effect"):
+    with pytest.warns(UserWarning, match="idle"):
         params.RegionParams.of({"threshold": 0.7})
     assert params.RegionParams.of({"min_silence_duration_ms": 5}, True).min_silence_ms == 5
     assert [params.word_timestamps(a, d) for a, d in ((None, True), (None, False), (True, False), (False, False))] == [True, False, True, False]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklane.functions import text as tx
-from tracklane.operators import clustering, language, regions, signal, speakers, stitch, windows
+from tracklane.operators import clustering, language, regions, signal, speakers, stitch, tokens, windows
 from tracklane.params import RegionParams, ms_to_samples
 from tracklane.sources.audio import gaps_filled
 
@@ -229,16 +229,16 @@ def test_joined_words(spark):
 
 
 def test_tokens_and_codes(spark):
-    tokens = [("<|en|>", "en", None), ("en", "en", None), ("<|en", "<|en", None), ("<|>", "<|>", None), ("<en>", "<en>", "en"), ("<en-US>", "<en-US>", "en-US"), ("<EN>", "<EN>", None), ("<eng>", "<eng>", None), ("<en>\n", "<en>\n", None), ("<en-us>", "<en-us>", None)]
-    df = spark.createDataFrame([(t,) for t, _, _ in tokens], "t string").select("t", tx.strip_token(F.col("t")), tx.language_tag(F.col("t")))
-    assert [tuple(r) for r in df.collect()] == tokens
+    cases = [("<|en|>", "en", None), ("en", "en", None), ("<|en", "<|en", None), ("<|>", "<|>", None), ("<en>", "<en>", "en"), ("<en-US>", "<en-US>", "en-US"), ("<EN>", "<EN>", None), ("<eng>", "<eng>", None), ("<en>\n", "<en>\n", None), ("<en-us>", "<en-us>", None)]
+    df = spark.createDataFrame([(t,) for t, _, _ in cases], "t string").select("t", tx.strip_token(F.col("t")), tx.language_tag(F.col("t")))
+    assert [tuple(r) for r in df.collect()] == cases
     codes = spark.createDataFrame([("en",), ("EN-us",), ("en_GB",), ("eng",), ("fr",)], "c string").select(tx.is_english(F.col("c"))).collect()
     assert [r[0] for r in codes] == [True, True, True, False, False]
     pick = spark.createDataFrame([("a", "b"), (None, "b"), ("a", None), (None, None)], "x string, y string").select(tx.chosen_language(F.col("x"), F.col("y"))).collect()
     assert [r[0] for r in pick] == ["a", "b", "a", None]
     told = spark.createDataFrame([("fr", False), ("auto", True), ("en-US", True)], "c string, e boolean").select(tx.target_language(F.col("c"), F.col("e"))).collect()
     assert [r[0] for r in told] == ["fr", None, None]
-    with pytest.raises(Exception, match="cannot be honoured"):
+    with pytest.raises(Exception, match="English only"):
         spark.createDataFrame([("fr", True)], "c string, e boolean").select(tx.target_language(F.col("c"), F.col("e"))).collect()
 
 
@@ -247,10 +247,10 @@ def test_one_language_per_file(spark):
     scores = spark.createDataFrame([("a", 1, "fr", 0.9), ("a", 0, "de", 0.4), ("a", 0, "es", 0.5)], "file_id string, window_id long, language string, probability double")
     assert {tuple(r) for r in language.file_language(files, scores).collect()} == {("a", "es", 0.5), ("b", "unknown", None)}
     assert {tuple(r) for r in language.file_language(files, scores, "it").collect()} == {("a", "it", None), ("b", "it", None)}
-    tokens = spark.createDataFrame([("a", 2, "<fr>", -1.0), ("a", 1, "hi", -1.0), ("a", 3, "<de>", 0.0), ("b", 0, "x", 0.0)], "file_id string, pos long, piece string, logprob double")
-    got = {r[0]: (r[1], round(r[2], 4)) for r in language.tagged_language(tokens).collect()}
+    emitted = spark.createDataFrame([("a", 2, "<fr>", -1.0), ("a", 1, "hi", -1.0), ("a", 3, "<de>", 0.0), ("b", 0, "x", 0.0)], "file_id string, pos long, piece string, logprob double")
+    got = {r[0]: (r[1], round(r[2], 4)) for r in language.tagged_language(emitted).collect()}
     assert got == {"a": ("fr", 0.3679), "b": ("unknown", 0.0)}
-    assert {tuple(r)[1:] for r in language.tagged_language(tokens, english_only=True).collect()} == {("en", 1.0)}
+    assert {tuple(r)[1:] for r in language.tagged_language(emitted, english_only=True).collect()} == {("en", 1.0)}
 
 
 def test_dense_labels_and_clusters(spark):
@@ -287,6 +287,64 @@ def test_samples(spark):
     assert 8 <= peak <= 14  # 440 Hz
 
 
+def test_resampled_and_mel_values():
+    np = signal.np
+    at = lambda rate, n: (0.6 * np.sin(np.arange(n) * 2 * np.pi * 300 / rate) + 0.3 * np.cos(np.arange(n) * 2 * np.pi * 1900 / rate)).astype(np.float32)
+    for rate in (8000, 22050, 44100, 48000):
+        out = signal.resampled(at(rate, rate // 2), rate)
+        assert np.abs(out - at(16000, len(out)))[400:-400].max() < 2e-3, rate
+    x, n_fft, hop = at(16000, 3000), 400, 160
+    got = signal.log_mel(x, 40, most=18)
+    hann = [0.5 - 0.5 * np.cos(2 * np.pi * k / n_fft) for k in range(n_fft)]
+    filters = signal.mel_filters(40)
+    for column in (2, 9, 18 - 1):
+        part = x[(column + 1) * hop - n_fft : (column + 1) * hop].astype(float) * hann
+        power = [abs(sum(part * np.exp(-2j * np.pi * f * np.arange(n_fft) / n_fft))) ** 2 for f in range(n_fft // 2 + 1)]
+        logs = np.log10(np.maximum([sum(w * p for w, p in zip(row, power, strict=True)) for row in filters], 1e-10))
+        assert np.abs(got[:, column] - (np.maximum(logs, logs.max() - 8) + 4) / 4).max() < 1e-4
+
+
+def test_windows_are_materialised(spark):
+    planned = spark.createDataFrame([("a", 0, 0, 40), ("a", 1, 40, 100), ("a", 2, 70, 90)], "file_id string, window_id long, start_sample long, end_sample long")
+    files = spark.createDataFrame([("a", [float(i) for i in range(64)])], "file_id string, samples array<float>")
+    out = windows.materialised(planned, files).orderBy("window_id").collect()
+    assert [(r["offset"], r["real_len"], len(r["samples"])) for r in out] == [(0, 40, 480000), (40, 24, 480000), (70, 0, 480000)]
+    assert out[1]["samples"][:25] == [float(i) for i in range(40, 64)] + [0.0] and not any(out[2]["samples"])
+
+
+def test_clusters_stay_apart_by_mean_distance(spark):
+    np = signal.np
+    luck = np.random.default_rng(4)
+
+    def plain(x, most, apart=0.45):
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        groups = [[i] for i in range(len(x))]
+        while len(groups) > 1:
+            d, a, b = min((np.mean([1 - unit[i] @ unit[j] for i in groups[a] for j in groups[b]]), a, b) for a in range(len(groups)) for b in range(a + 1, len(groups)))
+            if d > apart and len(groups) <= (most or len(x)):
+                break
+            groups[a] += groups.pop(b)
+        order = {}
+        return [order.setdefault(next(k for k, g in enumerate(groups) if i in g), len(order)) for i in range(len(x))]
+
+    for most in (None, 2):
+        for _ in range(15):
+            x = luck.normal(0, 1, (12, 3))
+            assert clustering.agglomerated(x, most).tolist() == plain(x, most)
+    assert clustering.agglomerated(np.zeros((0, 3))).tolist() == [] and clustering.agglomerated(np.array([[1.0, 0], [5, 0], [0, 2]])).tolist() == [0, 0, 1]
+    df = spark.createDataFrame([("a", 0, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("a", 2, [2.0, 0.1]), ("b", 0, [3.0, 3.0])], "file_id string, pos long, vector array<double>")
+    assert {(r["file_id"], r["pos"]): r["label"] for r in clustering.clustered(df, None).collect()} == {("a", 0): 0, ("a", 1): 1, ("a", 2): 0, ("b", 0): 0}
+
+
+def test_tokens_become_a_segment(spark):
+    rows = [("a", 0, 2, 50, 60, "c"), ("a", 0, 1, 70, 95, "b"), ("a", 0, 0, 10, 20, None), ("a", 1, 5, 1, 2, "x")]
+    df = spark.createDataFrame(rows, "file_id string, window_id long, pos long, start_us long, end_us long, piece string")
+    out = tokens.token_segments(df).orderBy("window_id").collect()
+    assert [(r["start_us"], r["end_us"], r["text"], len(r["words"]), r["seg_id"]) for r in out] == [(10, 60, " b c", 3, 0), (1, 2, "x", 1, 0)]
+    assert all(w["probability"] == 1.0 for r in out for w in r["words"])
+    assert {r["words"] for r in tokens.token_segments(df, words=False).collect()} == {None} and tokens.token_segments(df.limit(0)).count() == 0
+
+
 def test_gaps_are_silence(spark):
     df = spark.createDataFrame([("a", 0, 0.9, 8000), ("a", 3, 0.8, 8000)], "file_id string, frame long, p double, total long")
     assert [(r["frame"], r["p"]) for r in gaps_filled(df).orderBy("frame").collect()] == [(0, 0.9), (1, 0.0), (2, 0.0), (3, 0.8)]

@@ -4,22 +4,22 @@ from __future__ import annotations
 
 
 class AudioError(ValueError):
-    """The audio can't be read or isn't in a supported format."""
+    """The audio can't be read, or nothing here can decode it."""
 
 
 class AudioEmpty(AudioError):
     def __init__(self, path: str):
-        super().__init__(f"audio file {path} contains no audio track")
+        super().__init__(f"{path or 'the input'}: nothing to hear, no track gave any samples")
 
 
 class ModelNotFound(OSError):
     def __init__(self, name: str, path: str, message: str):
-        super().__init__(f"model {name} not found: {message} (looked in {path})")
+        super().__init__(f"{path} can't serve as model {name!r}: {message}")
 
 
 class DownloadError(OSError):
     def __init__(self, name: str, message: str):
-        super().__init__(f"failed to download model {name}: {message}")
+        super().__init__(f"model {name!r} didn't arrive: {message}")
 
 
 class BackendError(RuntimeError):

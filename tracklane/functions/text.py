@@ -28,7 +28,7 @@ def is_english(code: Column) -> Column:
 def target_language(code: Column, english_only: Column) -> Column:
     """What to set on a model: the code, or nothing on an English-only one, which refuses other languages."""
     fits = (code == "auto") | is_english(code)
-    refused = F.raise_error(F.concat(F.lit("target_lang "), code, F.lit(" cannot be honoured: the loaded model is English-only")))
+    refused = F.raise_error(F.concat(F.lit("this model knows English only and was asked for "), code))
     return F.when(~english_only, code).when(fits, F.lit(None).cast("string")).otherwise(refused.cast("string"))
 
 

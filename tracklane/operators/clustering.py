@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: clusters whose mean cosine distance is larger stay apart.
+APART = 0.45
+
 
 def dense_labels(rows: DataFrame, key: str = "file_id", pos: str = "pos", label: str = "label") -> DataFrame:
     """``rows`` with ``dense``: labels renumbered from 0 in the order in which they first appear within the key."""
@@ -37,8 +40,40 @@ def k_means(x: np.ndarray, k: int, iterations: int = 100, seed: int = 0) -> np.n
     return np.array([order.setdefault(int(a), len(order)) for a in labels])
 
 
-def clustered(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """(file_id, pos, label): each file's vectors (file_id, pos, vector) in exactly k clusters, fewer if it has fewer.
+def agglomerated(x: np.ndarray, most: int | None = None, apart: float = APART) -> np.ndarray:
+    """Labels, dense by first appearance: the two clusters with the least mean cosine distance between their rows are
+    joined until that exceeds ``apart`` for all and there are ``most`` clusters at most. Of equal pairs the earliest.
+
+    A zero row is at distance 1 from all others. The distances of all rows are held at once.
+    """
+    n = len(x)
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    d = 1 - unit @ unit.T
+    np.fill_diagonal(d, np.inf)
+    size, member, left = np.ones(n), np.arange(n), n
+    while left > 1:
+        a, b = divmod(int(d.argmin()), n)
+        a, b = min(a, b), max(a, b)
+        if d[a, b] > apart and left <= (most or n):
+            break
+        joined = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = joined, joined
+        d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        member[member == b] = a
+        left -= 1
+    order: dict[int, int] = {}
+    return np.array([order.setdefault(int(m), len(order)) for m in member], np.int64)
+
+
+def labels_of(x: np.ndarray, k: int | None, most: int | None = None, seed: int = 0) -> np.ndarray:
+    """Exactly ``k`` clusters, or as many as are apart."""
+    return agglomerated(x, most) if k is None else k_means(x, k, seed=seed)
+
+
+def clustered(rows: DataFrame, k: int | None, seed: int = 0, most: int | None = None) -> DataFrame:
+    """(file_id, pos, label): each file's vectors (file_id, pos, vector) in exactly k clusters, fewer if it has fewer;
+    without ``k`` in as many as are apart, ``most`` at most.
 
     A file's vectors, a few per second of sound, are held in one task.
     """
@@ -46,6 +81,6 @@ def clustered(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("pos")
         x = np.array(table.column("vector").to_pylist(), np.float64).reshape(table.num_rows, -1)
-        return pa.table({"file_id": table.column("file_id"), "pos": table.column("pos"), "label": pa.array(k_means(x, k, seed=seed), pa.int64())})
+        return pa.table({"file_id": table.column("file_id"), "pos": table.column("pos"), "label": pa.array(labels_of(x, k, most, seed), pa.int64())})
 
     return rows.select("file_id", "pos", "vector").groupBy("file_id").applyInArrow(run, f"file_id {rows.schema['file_id'].dataType.simpleString()}, pos {rows.schema['pos'].dataType.simpleString()}, label long")

@@ -44,6 +44,16 @@ def split_segments(segments: DataFrame, turns: DataFrame | None) -> DataFrame:
     """
     spoken = segments.filter(F.size("words") > 0)
     exploded = spoken.select("file_id", "seg_id", F.col("start_us").alias("seg_start"), F.col("end_us").alias("seg_end"), F.col("text").alias("seg_text"), F.posexplode("words").alias("pos", "w")).select("*", "w.*")
+    out = split_words(exploded, turns)
+    kind = out.schema["words"].dataType
+    silent = segments.filter(F.col("words").isNull() | (F.size("words") == 0)).select(
+        "file_id", "seg_id", F.lit(0).cast("long").alias("run"), "start_us", "end_us", "text", F.when(F.col("words").isNotNull(), F.array().cast(kind)).alias("words"), F.lit(None).cast("long").alias("speaker")
+    )
+    return out.unionByName(silent)
+
+
+def split_words(exploded: DataFrame, turns: DataFrame | None) -> DataFrame:
+    """The same for words as rows: file_id, seg_id, seg_start, seg_end, seg_text, pos, start_us, end_us, word, probability."""
     if turns is None:
         named = exploded.withColumn("speaker", F.lit(None).cast("long"))
     else:
@@ -54,7 +64,7 @@ def split_segments(segments: DataFrame, turns: DataFrame | None) -> DataFrame:
     )
     alone = F.count("*").over(Window.partitionBy("file_id", "seg_id")) == 1
     ws = F.col("ws")
-    out = grouped.withColumn("alone", alone).select(
+    return grouped.withColumn("alone", alone).select(
         "file_id", "seg_id", "run",
         F.when(F.col("alone"), F.col("seg_start")).otherwise(ws[0]["start_us"]).alias("start_us"),
         F.when(F.col("alone"), F.col("seg_end")).otherwise(F.element_at(ws, -1)["end_us"]).alias("end_us"),
@@ -62,11 +72,6 @@ def split_segments(segments: DataFrame, turns: DataFrame | None) -> DataFrame:
         F.transform(ws, lambda w: F.struct(w["start_us"].alias("start_us"), w["end_us"].alias("end_us"), w["word"].alias("word"), w["probability"].alias("probability"), w["speaker"].alias("speaker"))).alias("words"),
         "speaker",
     )
-    kind = out.schema["words"].dataType
-    silent = segments.filter(F.col("words").isNull() | (F.size("words") == 0)).select(
-        "file_id", "seg_id", F.lit(0).cast("long").alias("run"), "start_us", "end_us", "text", F.when(F.col("words").isNotNull(), F.array().cast(kind)).alias("words"), F.lit(None).cast("long").alias("speaker")
-    )
-    return out.unionByName(silent)
 
 
 def speaker_counts(files: DataFrame, turns: DataFrame) -> DataFrame:

@@ -13,17 +13,22 @@ from pyspark.sql import functions as F
 from tracklane.schemas import CUT_SEARCH_SAMPLES, WINDOW_SAMPLES
 
 
-def cut_after(start: Column, probs: Column, frame_samples: int) -> Column:
+def search_from(start: Column, frame_samples: int) -> Column:
+    """The first frame at which a window that starts at ``start`` may be cut."""
+    return F.floor((start + WINDOW_SAMPLES - CUT_SEARCH_SAMPLES) / frame_samples)
+
+
+def cut_after(start: Column, probs: Column, from_frame: Column, frame_samples: int) -> Column:
     """Where to cut a window that starts at ``start``: the first of the quietest frames in the last stretch.
 
-    ``probs`` null, no frame there, or a cut that doesn't advance: at the ceiling.
+    ``probs`` are scores from frame ``from_frame`` on. Null, no frame there, or a cut that doesn't advance: at the ceiling.
     """
     hard = start + WINDOW_SAMPLES
     if not frame_samples:
         return hard
-    low = F.floor((start + WINDOW_SAMPLES - CUT_SEARCH_SAMPLES) / frame_samples).cast("int")
-    high = F.least(F.floor((start + WINDOW_SAMPLES) / frame_samples).cast("int"), F.size(probs))
-    part = F.slice(probs, low + 1, high - low)
+    low = search_from(start, frame_samples)
+    high = F.least(F.floor((start + WINDOW_SAMPLES) / frame_samples), from_frame + F.size(probs))
+    part = F.slice(probs, (low - from_frame + 1).cast("int"), (high - low).cast("int"))
     quiet = (low + F.array_position(part, F.array_min(part)) - 1) * frame_samples
     return F.when(probs.isNotNull() & (high > low) & (quiet > start), quiet.cast("long")).otherwise(hard)
 
@@ -35,7 +40,7 @@ def sliced(regions: DataFrame, frame_samples: int) -> DataFrame:
     begin = F.struct(start.alias("tail"), F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)").alias("cuts"))
 
     def step(state: Column, _: Column) -> Column:
-        at = cut_after(state["tail"], probs, frame_samples)
+        at = cut_after(state["tail"], probs, F.col("from_frame"), frame_samples)
         more = F.struct(at.alias("tail"), F.concat(state["cuts"], F.array(F.struct(state["tail"].alias("start"), at.alias("end")))).alias("cuts"))
         return F.when(end - state["tail"] > WINDOW_SAMPLES, more).otherwise(state)
 
@@ -62,15 +67,25 @@ def packed(regions: Column) -> Column:
 def windows(regions: DataFrame, frames: DataFrame | None, frame_samples: int) -> DataFrame:
     """(file_id, window_id, start_sample, end_sample): ascending, disjoint, none longer than the ceiling.
 
-    Scores are gathered only for files with a region that must be cut. Without ``frames``, cuts are at the ceiling.
+    Scores are gathered only for regions that must be cut, and of each only those from its first search on. They meet
+    in bins of a window's length, so that no frame meets all regions of a long file. Without ``frames``, cuts are at the
+    ceiling.
     """
     kept = regions.filter("end_sample > start_sample").select("file_id", "start_sample", "end_sample")
-    if frames is None:
-        kept = kept.withColumn("probs", F.lit(None).cast("array<double>"))
+    too_long = F.col("end_sample") - F.col("start_sample") > WINDOW_SAMPLES
+    none = {"probs": F.lit(None).cast("array<double>"), "from_frame": F.lit(None).cast("long")}
+    short = kept.filter(~too_long).withColumns(none)
+    if frames is None or not frame_samples:
+        cut = kept.filter(too_long).withColumns(none)
     else:
-        long = kept.filter(F.col("end_sample") - F.col("start_sample") > WINDOW_SAMPLES).select("file_id").distinct()
-        scores = frames.join(long, "file_id", "left_semi").groupBy("file_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "p"))), lambda x: x["p"]).alias("probs"))
-        kept = kept.join(scores, "file_id", "left")
+        bin_of = lambda x: F.floor(x / WINDOW_SAMPLES)
+        long = kept.filter(too_long).withColumn("from_frame", search_from(F.col("start_sample"), frame_samples))
+        dealt = long.withColumn("bin", F.explode(F.sequence(bin_of(F.col("from_frame") * frame_samples), bin_of(F.col("end_sample")))))
+        scores = frames.select("file_id", "frame", "p", bin_of(F.col("frame") * frame_samples).alias("bin"))
+        met = dealt.join(scores, ["file_id", "bin"]).filter((F.col("frame") >= F.col("from_frame")) & (F.col("frame") * frame_samples < F.col("end_sample")))
+        listed = met.groupBy("file_id", "start_sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "p"))), lambda x: x["p"]).alias("probs"))
+        cut = long.join(listed, ["file_id", "start_sample"], "left").select(short.columns)
+    kept = short.unionByName(cut)
     files = sliced(kept, frame_samples).groupBy("file_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("start_sample").alias("start"), F.col("end_sample").alias("end"), "tail"))).alias("rs"), F.flatten(F.collect_list("cuts")).alias("cuts")
     )

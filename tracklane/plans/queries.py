@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklane.functions.text import decoder_language, is_english, language_tag, mel_bins, strip_token
-from tracklane.functions.times import seconds
-from tracklane.operators import clustering, language, regions, signal, speakers, stitch, windows
+from tracklane import params
+from tracklane.functions.text import chosen_language, decoder_language, is_blank, is_english, language_tag, mel_bins, shown, strip_token, target_language
+from tracklane.functions.times import length, samples_of_ms, seconds, us_of_samples
+from tracklane.operators import clustering, language, regions, signal, speakers, stitch, tokens, windows
 from tracklane.params import RegionParams
 from tracklane.plans.registry import ALIASES, resolved
 from tracklane.sources import standins
@@ -118,7 +119,7 @@ def speaker_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = standins.words(spark, sf_dir)
-    return speakers.split_segments(standins.segments(spoken), standins.turns(spoken))
+    return speakers.split_words(standins.segment_words(spoken), standins.turns(spoken))
 
 
 def speaker_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +151,59 @@ split_runs AS (
   SELECT r.file_id, r.seg_id, r.run, r.speaker, r.start_us, r.end_us, CASE WHEN w.last_run = 0 THEN w.text ELSE r.text END AS text, r.n_words FROM runs r JOIN whole w USING (file_id, seg_id))"""
 
 
+def silent_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as segments, without words (null or none) or without speakers: all pass through whole."""
+    rows = standins.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").cast("long").alias("seg_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    word = F.expr("named_struct('start_us', 5L, 'end_us', 9L, 'word', text, 'probability', 1.0D)")
+    listed = F.when(F.col("turn") % 3 == 1, F.array(word)).when(F.col("turn") % 3 == 2, F.slice(F.array(word), 1, 0))
+    out = speakers.split_segments(rows.select("file_id", "seg_id", F.lit(0).cast("long").alias("start_us"), F.lit(10).cast("long").alias("end_us"), "text", listed.alias("words")), None)
+    return out.select("file_id", "seg_id", F.col("run").cast("long").alias("run"), "speaker", "start_us", "end_us", "text", F.when(F.col("words").isNotNull(), F.size("words")).cast("long").alias("n_words"))
+
+
+def token_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokens.token_segments(standins.tokens(standins.words(spark, sf_dir)))
+    return out.select("file_id", "window_id", "seg_id", "start_us", "end_us", "text", F.size("words").cast("long").alias("n_words"), F.element_at("words", 1)["probability"].alias("probability"))
+
+
+def tagged_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two documents are a file; a third of them emit a tag, a third something like one."""
+    docs = standins.table(spark, sf_dir, "documents")
+    kind = F.col("doc_id") % 3
+    piece = F.when(kind == 0, F.concat(F.lit("<"), F.col("lang"), F.lit(">"))).when(kind == 1, F.concat(F.lit("<|"), F.col("lang"), F.lit("|>"))).otherwise(F.col("lang"))
+    rows = docs.select(F.floor(F.col("doc_id") / 2).alias("file_id"), (-F.col("doc_id")).alias("pos"), piece.alias("piece"), (-(F.col("doc_id") % 5) / 4).alias("logprob"))
+    return language.tagged_language(rows).select("file_id", "language", F.round("probability", 6).alias("probability"))
+
+
+def language_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked for, what is set on a model of many languages and on an English one, which refuses others."""
+    docs = standins.table(spark, sf_dir, "documents")
+    explicit = F.when(F.col("doc_id") % 4 == 0, F.col("lang"))
+    configured = F.when(F.col("doc_id") % 3 == 0, F.lit("auto")).when(F.col("doc_id") % 3 == 1, F.lit("EN-gb"))
+    rows = docs.select("doc_id", chosen_language(explicit, configured).alias("chosen"))
+    fits = F.coalesce((F.col("chosen") == "auto") | is_english(F.col("chosen")), F.lit(False))
+    return rows.select("doc_id", "chosen", target_language(F.col("chosen"), F.lit(False)).alias("many"), target_language(F.col("chosen"), fits).alias("one"), fits.alias("fits"))
+
+
+BLANKS = ("", " ", "\t", "\u0085", "\u00a0", "\u2003", "\u2028", "\u3000", "\u200b", ".")
+
+
+def blank_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = standins.table(spark, sf_dir, "documents").select("lang").distinct()
+    texts = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(b).alias("b")) for i, b in enumerate(BLANKS)]))
+    rows = codes.select("lang", texts.alias("x")).select("lang", F.col("x.i").alias("i"), F.col("x.b").alias("b"))
+    return rows.select("lang", "i", is_blank(F.concat("b", F.lit(" "), "b")).alias("alone"), is_blank(F.concat("b", "lang", "b")).alias("around"))
+
+
+def time_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms, sample = F.col("event_id").cast("long") * 7, F.col("event_id").cast("long") * 3
+    back = F.col("event_id") % 2 == 0
+    return standins.table(spark, sf_dir, "events").select(
+        "event_id", samples_of_ms(ms).alias("samples"), us_of_samples(sample).alias("us"),
+        length(F.when(back, ms).otherwise(sample), F.when(back, sample).otherwise(ms)).alias("duration"), seconds(us_of_samples(sample)).alias("seconds"),
+        shown("Segment", F.floor(us_of_samples(sample) / 10_000) / 100, F.floor(us_of_samples(sample) / 10_000) / 100 + 0.5, F.lit("x")).alias("shown"),
+    )
+
+
 def speaker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = standins.words(spark, sf_dir)
     return speakers.speaker_counts(standins.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id")).distinct(), standins.turns(spoken))
@@ -205,6 +259,11 @@ def kmeans_exact_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.clustered(rows, 4)
 
 
+def clusters_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _samples(spark, sf_dir).select((F.col("file_id") % 5).alias("file_id"), F.col("file_id").alias("pos"), F.col("samples").alias("vector"))
+    return clustering.clustered(rows, None, most=params.DEFAULT_MAX_SPEAKERS)
+
+
 def mel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiled = _samples(spark, sf_dir).select("file_id", F.flatten(F.array_repeat("samples", 25)).alias("samples"))
     made = signal.mel_features(tiled, 80, 16)
@@ -216,6 +275,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         vad_regions, vad_raw_regions, interval_merge, speech_totals, window_plan, window_plan_novad, stitch_segments, speaker_assign, speaker_runs, numbered_segments,
         speaker_counts, lang_first_window, lang_tag_parse, frame_peaks, pcm_quantize, dense_relabel, model_registry, kmeans_exact_k, mel_frames,
+        silent_segments, token_segments, tagged_language, language_choice, blank_texts, time_functions, clusters_apart,
     )
 }
 
@@ -257,4 +317,20 @@ SELECT vec_id AS file_id, CAST(pos AS BIGINT) AS pos, CAST(trunc(greatest(-1.0::
 ranked AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY first) - 1 AS dense FROM firsts)
 SELECT e.vec_id % 7 AS file_id, e.vec_id AS pos, CAST(e.label AS BIGINT) AS label, CAST(r.dense AS BIGINT) AS dense FROM embeddings e JOIN ranked r ON r.file_id = e.vec_id % 7 AND r.label = e.label""",
     "model_registry": _registry_sql(),
+    "silent_segments": """SELECT conv_id AS file_id, CAST(turn AS BIGINT) AS seg_id, CAST(0 AS BIGINT) AS run, CAST(NULL AS BIGINT) AS speaker, CAST(0 AS BIGINT) AS start_us, CAST(10 AS BIGINT) AS end_us,
+coalesce(text, '') AS text, CAST(CASE turn % 3 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS BIGINT) AS n_words FROM conversations""",
+    "token_segments": f"""WITH {standins.WORDS_SQL}, tokens AS (SELECT file_id, turn, word_id, start_us + word_id % 3 * 400000 AS s, end_us + word_id % 3 * 400000 AS e, word FROM words)
+SELECT file_id, CAST(turn AS BIGINT) AS window_id, CAST(0 AS BIGINT) AS seg_id, CAST(arg_min(s, word_id) AS BIGINT) AS start_us, CAST(arg_max(e, word_id) AS BIGINT) AS end_us,
+string_agg(word, ' ' ORDER BY word_id) AS text, count(*) AS n_words, 1.0::DOUBLE AS probability FROM tokens GROUP BY file_id, turn""",
+    "tagged_language": """WITH tags AS (SELECT CAST(doc_id // 2 AS BIGINT) AS file_id, doc_id, CASE WHEN doc_id % 3 = 0 THEN lang END AS tag FROM documents)
+SELECT file_id, coalesce(arg_max(tag, doc_id) FILTER (tag IS NOT NULL), 'unknown') AS language,
+coalesce(round(exp(arg_max(-(doc_id % 5) / 4.0::DOUBLE, doc_id) FILTER (tag IS NOT NULL)), 6), 0.0::DOUBLE) AS probability FROM tags GROUP BY file_id""",
+    "language_choice": """WITH asked AS (SELECT doc_id, coalesce(CASE WHEN doc_id % 4 = 0 THEN lang END, CASE doc_id % 3 WHEN 0 THEN 'auto' WHEN 1 THEN 'EN-gb' END) AS chosen FROM documents),
+judged AS (SELECT *, coalesce(chosen IN ('auto', 'en', 'EN-gb'), false) AS fits FROM asked)
+SELECT doc_id, chosen, chosen AS many, CASE WHEN fits THEN NULL ELSE chosen END AS one, fits FROM judged""",
+    "blank_texts": """WITH codes AS (SELECT DISTINCT lang FROM documents)
+SELECT lang, CAST(i AS BIGINT) AS i, i < 8 AS alone, false AS around FROM codes, range(10) t(i)""",
+    "time_functions": """WITH e AS (SELECT event_id, CAST(event_id AS BIGINT) * 7 AS ms, CAST(event_id AS BIGINT) * 3 AS s, CAST(event_id AS BIGINT) * 3 * 1000 // 16 AS us FROM events)
+SELECT event_id, ms * 16 AS samples, us, CASE WHEN event_id % 2 = 0 THEN 0 ELSE ms - s END AS duration, round(us / 1000000.0::DOUBLE, 6) AS seconds,
+printf('Segment(start=%.2f, end=%.2f, text=''x'')', us // 10000 / 100.0::DOUBLE, us // 10000 / 100.0::DOUBLE + 0.5::DOUBLE) AS shown FROM e""",
 }

@@ -8,10 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklane import params
+from tracklane.errors import AudioError
 from tracklane.functions.text import chosen_language, decoder_language
 from tracklane.functions.times import seconds, us_of_samples
 from tracklane.operators import language as languages
@@ -60,11 +62,15 @@ class TranscriptionInfo:
 
 
 class SegmentIterator:
-    """Segments of one file in order, fetched partition by partition as they are asked for."""
+    """Segments of one file in order, fetched partition by partition as they are asked for.
 
-    def __init__(self, rows: DataFrame):
+    ``held``: the signals they are made from, which are let go after the last segment.
+    """
+
+    def __init__(self, rows: DataFrame, held: DataFrame | None = None):
         self.rows = rows
         self.inner: Iterator | None = None
+        self.held = held
 
     def __iter__(self) -> SegmentIterator:
         return self
@@ -72,7 +78,12 @@ class SegmentIterator:
     def __next__(self) -> Segment:
         if self.inner is None:
             self.inner = self.rows.orderBy("id").toLocalIterator()
-        r = next(self.inner)
+        try:
+            r = next(self.inner)
+        except StopIteration:
+            if self.held is not None:
+                self.held.unpersist()
+            raise
         words = None if r["words"] is None else [Word(w["start"], w["end"], w["word"], w["probability"], w["speaker"]) for w in r["words"]]
         return Segment(r["id"], r["start"], r["end"], r["text"], words, r["speaker"])
 
@@ -119,9 +130,17 @@ class _Model:
         counts = speakers.speaker_counts(lengths, turns) if diarize else lengths.select("file_id", F.lit(None).cast("long").alias("num_speakers"))
         return out, info.join(counts, "file_id")
 
-    def one(self, audio: str, out: tuple[DataFrame, DataFrame]) -> tuple[SegmentIterator, TranscriptionInfo]:
-        r = out[1].first()
-        return SegmentIterator(out[0]), TranscriptionInfo(r["language"], r["language_probability"], r["duration"], r["duration_after_vad"], r["num_speakers"])
+    def signals_of(self, audio: str | DataFrame) -> DataFrame:
+        """Signals of a path are decoded once and held: lengths, scores, windows, turns and times all need them."""
+        return signals(self.spark, audio).persist(StorageLevel.MEMORY_AND_DISK) if isinstance(audio, str) else audio
+
+    def one(self, audio: str, files: DataFrame, out: tuple[DataFrame, DataFrame]) -> tuple[SegmentIterator, TranscriptionInfo]:
+        found = out[1].limit(2).collect()
+        if len(found) != 1:
+            files.unpersist()
+            raise AudioError(f"{audio} names {'several files' if found else 'no file'}; give many files as a DataFrame of signals")
+        r = found[0]
+        return SegmentIterator(out[0], files), TranscriptionInfo(r["language"], r["language_probability"], r["duration"], r["duration_after_vad"], r["num_speakers"])
 
 
 class SpeechModel(_Model):
@@ -141,9 +160,9 @@ class SpeechModel(_Model):
         words = params.word_timestamps(word_timestamps, diarize)
         region = params.RegionParams.of(vad_parameters, getattr(backends.factory("scorer"), "graded", False))
         options = params.DecodeOptions(beam_size, patience, length_penalty, temperature, repetition_penalty, no_repeat_ngram_size, max_initial_timestamp, suppress_blank)
-        files = signals(self.spark, audio) if isinstance(audio, str) else audio
+        files = self.signals_of(audio)
         out = self.run(files, language, (self.model_path, self.config, options), words, vad_filter, region, diarize, max_speakers, num_speakers)
-        return self.one(audio, out) if isinstance(audio, str) else out
+        return self.one(audio, files, out) if isinstance(audio, str) else out
 
 
 class StreamingModel(_Model):
@@ -155,6 +174,11 @@ class StreamingModel(_Model):
         self.target_lang, self.download_root = target_lang, download_root
         super().__init__(model, spark, local_files_only, fetch)
 
+    def wanted(self, language: str | None) -> str | None:
+        """The call's language, else the configured one, else null: to be detected. The same rule for a column of
+        requests is ``functions.text.chosen_language``."""
+        return self.target_lang if language is None else language
+
     def transcribe(
         self, audio: str | DataFrame, *, language: str | None = None, word_timestamps: bool | None = None, vad_filter: bool = True, vad_parameters: dict | None = None, diarize: bool = False,
         max_speakers: int = params.DEFAULT_MAX_SPEAKERS, num_speakers: int | None = None,
@@ -162,9 +186,9 @@ class StreamingModel(_Model):
         params.checked_speakers(diarize, max_speakers, num_speakers)
         words = params.word_timestamps(word_timestamps, diarize)
         region = params.RegionParams.of(vad_parameters, getattr(backends.factory("scorer"), "graded", False))
-        files = signals(self.spark, audio) if isinstance(audio, str) else audio
-        out = self.run(files, language or self.target_lang, (self.model_path, self.target_lang), words, vad_filter, region, diarize, max_speakers, num_speakers, auto=True)
-        return self.one(audio, out) if isinstance(audio, str) else out
+        files = self.signals_of(audio)
+        out = self.run(files, self.wanted(language), (self.model_path, self.target_lang), words, vad_filter, region, diarize, max_speakers, num_speakers, auto=True)
+        return self.one(audio, files, out) if isinstance(audio, str) else out
 
 
 __all__ = ["Segment", "SegmentIterator", "SpeechModel", "StreamingModel", "TranscriptionInfo", "Word", "chosen_language"]

@@ -1,4 +1,4 @@
-"""Audio files as signals: WAV, decoded in the Python workers that read them."""
+"""Audio files as signals, decoded in the Python workers that read them: WAV, and what has an opener (``containers``)."""
 
 from __future__ import annotations
 
@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 from tracklane.errors import AudioEmpty, AudioError
 from tracklane.operators.signal import mixed_down, resampled
 from tracklane.schemas import SAMPLE_RATE, SIGNALS
+from tracklane.sources.containers import Opener, openers, read
 
 # Codes of sample formats in a WAV header.
 PCM, FLOAT, EXTENSIBLE = 1, 3, 0xFFFE
 
 
-def decoded(content: bytes, path: str = "") -> tuple[int, np.ndarray]:
-    """Sample rate and mono samples in -1..1. A file that ends before its data does is an error, not a short signal."""
+def decoded(content: bytes, path: str = "", more: dict[str, Opener] | None = None) -> tuple[int, np.ndarray]:
+    """Sample rate and mono samples in -1..1. A file that ends before its data does is an error, not a short signal.
+
+    What isn't WAV by its content is opened by its extension, by one of ``more`` (those that are registered).
+    """
     if len(content) < 12 or content[:4] != b"RIFF" or content[8:12] != b"WAVE":
-        raise AudioError(f"unsupported audio format in {path}: not a WAV file")
+        opener = (openers() if more is None else more).get(path.rpartition(".")[2].lower())
+        if opener is None:
+            raise AudioError(f"{path}: not a WAV file, and nothing is registered that opens it")
+        return read(opener(content, path), path)
     at, form = 12, None
     while at + 8 <= len(content):
         name, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
@@ -31,9 +38,9 @@ def decoded(content: bytes, path: str = "") -> tuple[int, np.ndarray]:
             form = (struct.unpack_from("<H", body, 24)[0] if code == EXTENSIBLE and len(body) >= 26 else code, channels, rate, bits)
         elif name == b"data":
             if form is None:
-                raise AudioError(f"unsupported audio format in {path}: data before its format")
+                raise AudioError(f"{path}: the data come before their format")
             if len(body) < size:
-                raise AudioError(f"cannot read audio file {path}: it is truncated")
+                raise AudioError(f"{path}: truncated, {size - len(body)} bytes are missing")
             samples = mixed_down(_values(body, form[0], form[3], path), form[1])
             if not len(samples):
                 raise AudioEmpty(path)
@@ -52,16 +59,18 @@ def _values(body: bytes, code: int, bits: int, path: str) -> np.ndarray:
         return ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8).astype(np.float32) / (1 << 23)
     if code == PCM and bits in (16, 32):
         return np.frombuffer(body, f"<i{bits // 8}").astype(np.float32) / (1 << (bits - 1))
-    raise AudioError(f"unsupported audio format in {path}: code {code}, {bits} bits")
+    raise AudioError(f"{path}: samples of {bits} bits with code {code} can't be read")
 
 
 def signals(spark: SparkSession, path: str) -> DataFrame:
     """(file_id, sample_rate, samples): each file that ``path`` names, mono at 16 kHz; file_id is its path."""
 
+    more = openers()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rate, samples = decoded(content, name)
+                rate, samples = decoded(content, name, more)
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([SAMPLE_RATE], pa.int32()), pa.array([resampled(samples, rate)], pa.list_(pa.float32()))], ["file_id", "sample_rate", "samples"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SIGNALS)

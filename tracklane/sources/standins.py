@@ -69,6 +69,23 @@ def segments(spoken: DataFrame) -> DataFrame:
     return rows.select("file_id", "seg_id", F.col("ws")[0]["start_us"].alias("start_us"), F.element_at("ws", -1)["end_us"].alias("end_us"), F.array_join(F.transform("ws", lambda w: w["word"]), " ").alias("text"), plain.alias("words"))
 
 
+def segment_words(spoken: DataFrame) -> DataFrame:
+    """The same segments as a row for each word: file_id, seg_id, seg_start, seg_end, seg_text, pos, and the word's columns."""
+    rows = spoken.withColumn("seg_id", F.floor(F.col("word_id") / SEGMENT_WORDS))
+    whole = Window.partitionBy("file_id", "seg_id")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word")).over(whole)), lambda w: w["word"]), " ")
+    return rows.select(
+        "file_id", "seg_id", F.min("start_us").over(whole).alias("seg_start"), F.max("end_us").over(whole).alias("seg_end"), text.alias("seg_text"),
+        (F.col("word_id") - F.col("seg_id") * SEGMENT_WORDS).cast("int").alias("pos"), "start_us", "end_us", "word", F.lit(1.0).alias("probability"),
+    )
+
+
+def tokens(spoken: DataFrame) -> DataFrame:
+    """(file_id, window_id, pos, start_us, end_us, piece) from ``words``: a turn is a window, times don't follow positions."""
+    late = (F.col("word_id") % 3) * 400_000
+    return spoken.select("file_id", F.col("turn").cast("long").alias("window_id"), F.col("word_id").alias("pos"), (F.col("start_us") + late).alias("start_us"), (F.col("end_us") + late).alias("end_us"), F.col("word").alias("piece"))
+
+
 def local_segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Windows (file_id, window_id, offset_us, real_us) and segments with times from the window's start.
 
