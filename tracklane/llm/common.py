@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -34,9 +36,11 @@ def fold(doc_id: str, modulus: int) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: one of our own on one machine, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tracklane-")
         spark.conf.set("spark.checkpoint.dir", root)
         _drop_at_exit(spark, root)
@@ -58,41 +62,50 @@ def stored(df: DataFrame, name: str, batch_bytes: int = 16 << 20) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(batch_bytes)}
-    before = {k: spark.conf.get(k) for k in wanted}
-    for k, v in wanted.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        for k, v in before.items():
+    with _settings:
+        before = {k: spark.conf.get(k) for k in wanted}
+        for k, v in wanted.items():
             spark.conf.set(k, v)
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            for k, v in before.items():
+                spark.conf.set(k, v)
     _drop_at_exit(spark, path)
-    for paths in _open:
+    for paths in _blocks():
         paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables stored since each of the blocks that are open now began.
-_open: list[list[str]] = []
+#: Held while a table is written under settings of its own: one thread at a time.
+_settings = threading.RLock()
+_own = threading.local()
+
+
+def _blocks() -> list[list[str]]:
+    """Paths of the tables stored since each of the blocks that this thread has open began."""
+    if not hasattr(_own, "blocks"):
+        _own.blocks = []
+    return _own.blocks
 
 
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """Tables stored within the block go at its end. What is needed later is stored after it, or taken out by ``kept``."""
-    _open.append([])
+    _blocks().append([])
     try:
         yield
     finally:
-        for path in _open.pop():
+        for path in _blocks().pop():
             at = spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
     """A stored table that outlives the blocks that are open."""
-    held = [len(paths) for paths in _open]
+    held = [len(paths) for paths in _blocks()]
     out = stored(df, name)
-    for paths, n in zip(_open, held, strict=True):
+    for paths, n in zip(_blocks(), held, strict=True):
         del paths[n:]
     return out
 

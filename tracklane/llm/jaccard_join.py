@@ -16,7 +16,10 @@ it. Whatever links to its hub is in the hub's class. A member x that doesn't lin
 but only if their differences from the hub, x^h and y^h, have enough features in common, by
 |x^y| = |x^h| + |y^h| - 2|(x^h)&(y^h)|. Small groups are compared pair by pair; in large ones a prefix index over the
 differences, rarest features first, finds the pairs, and what is still crowded there becomes a bucket of the next
-round. No link is lost.
+round. Members of a crowded entry agree with one another and with their new hub on its feature, so rounds end. No link
+is lost.
+
+Near copies share hundreds of signatures, most of them with the same members: buckets with equal members count as one.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from math import exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,12 +45,10 @@ SECOND = (2, 3, 4)
 SMALL = 16
 #: And an entry of the prefix index, whose pairs are then sifted by position, up to so many.
 CROWD = 64
-#: After so many rounds of hubs, what is left is compared pair by pair.
-ROUNDS = 8
 #: Texts sampled, on average at most, to find features that many have, and how many of them make a feature common.
 SAMPLE, COMMON = 8192, 8
-#: How often classes that share too few signatures are sifted out; each time others may follow.
-SIFTS = 2
+#: Bits of a signature beyond those that count the rows. Chance meetings only add candidates, which are sifted.
+MORE_BITS = 21
 #: Bytes in a batch that carries sets.
 SET_BYTES = 4 << 20
 #: Positions of the bitmap that says which sets must be kept; its size doesn't depend on the input.
@@ -91,9 +92,9 @@ class Shingler:
         return np.unique(_mix(out + np.uint64(n)))
 
 
-def common_features(docs: DataFrame, words: int, text_col: str) -> np.ndarray:
+def common_features(docs: DataFrame, n_rows: int, words: int, text_col: str) -> np.ndarray:
     """Ascending features that at least COMMON of the sampled texts have; of near copies among them one counts."""
-    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    share = min(1.0, SAMPLE / max(n_rows, 1))
     luck = F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(1 << 30))
     rows = docs.filter(luck < int(share * (1 << 30))).select(F.col(text_col).cast("binary").alias("t")).distinct().limit(2 * SAMPLE).collect()
     shingler, sets = Shingler(words), []
@@ -217,11 +218,13 @@ def shingled(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
 def signatures(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
     """(class, bucket, least) for each signature of each set; of copies that a task meets, the first gives them."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, words, text_col))
+    rows = docs.count()
+    bits = min(64, 8 * -(-(rows.bit_length() + MORE_BITS) // 8))  # whole bytes; what is left out isn't shuffled
+    shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, rows, words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, enum = Shingler(words), PartEnum(p, q)
-        common = shared.value
+        common, narrow = shared.value, np.int64(-1 if bits == 64 else (1 << bits) - 1)
         seen: set[int] = set()
         for batch in batches:
             classes, signs, least, held = [], [], [], 0
@@ -234,6 +237,8 @@ def signatures(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> Da
                     s = shingler.set_of(text)
                     rest = s[common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s] if len(common) else s
                     own, needs = enum.signatures(rest, len(s))
+                    own &= narrow
+                    needs -= np.minimum(needs % (1 << 16) - 1, len(own) - len(np.unique(own))).astype(np.int32)  # of equal ones, one counts
                     least.append(needs)
                     classes.append(np.full(len(own), class_of(s)))
                     signs.append(own)
@@ -246,7 +251,14 @@ def signatures(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> Da
 
 
 def _text_hash(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+    """As Spark's xxhash64, signed."""
+    h = xxhash.xxh64_intdigest(text, 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def text_hash(text_col: str) -> Column:
+    """What tells the texts of rows that share an id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, text_col: str) -> DataFrame:
@@ -254,7 +266,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, tex
 
     The sets are made again from one text of each class. A bitmap of fixed size tells most of the other texts apart.
     """
-    texts = rows.select("class", "text_hash").join(wanted, "class", "left_semi").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
+    texts = rows.filter("class is not null").groupBy("class").agg(F.min("text_hash").alias("text_hash")).join(wanted, "class", "left_semi")
     place = F.pmod("text_hash", F.lit(BITMAP)) + 1  # both bitmap functions count from one
     maps = texts.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # BITMAP bits at most
     bits = np.zeros(BITMAP // 8 + 4096, np.uint8)
@@ -308,7 +320,8 @@ def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 ["hub", "class", "large", "linked", "size", "d", "seek", "offer", "delta"],
             )
 
-    sizes = stars.groupBy("hub").agg((F.count("*") > SMALL).alias("large"))
+    # A table, so that the joins below deal plain rows and Spark can split a hub with many members
+    sizes = stored(stars.groupBy("hub").agg((F.count("*") > SMALL).alias("large")), "hub_sizes")
     rows = stars.join(sizes, "hub").join(sets.select(F.col("class").alias("hub"), F.col("features").alias("of_hub")), "hub").join(sets, "class")
     schema = "hub long, class long, large boolean, linked boolean, size long, d long, seek long, offer long, delta array<long>"
     return stored(rows.select("hub", "class", "large", "of_hub", "features").mapInArrow(run, schema), "stars", SET_BYTES)
@@ -356,44 +369,53 @@ def _met(entries: DataFrame, p: int, q: int) -> DataFrame:
     return a.join(b, ["hub", "feature"]).filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _shared(signs: DataFrame) -> DataFrame:
+    """Stored: (bucket, class, least, n) for buckets with several classes; those with the same members are one.
+
+    ``n`` says how many signatures a row stands for. Buckets are told apart by a hash of their members; if two unlike
+    ones had the same, their members would just be compared with more others.
+    """
+    by = Window.partitionBy("bucket")
+    before = F.lag("class").over(by.orderBy("class"))
+    single = signs.withColumn("of", F.when(before.isNull() | (before != F.col("class")), F.xxhash64("class")).otherwise(0))
+    met = single.withColumns({"first": F.min("class").over(by), "last": F.max("class").over(by), "members": F.bit_xor("of").over(by)}).filter("first <> last")
+    alike = met.select(F.xxhash64("first", "last", "members").alias("alike"), "bucket", "class", "least").distinct()
+    return stored(alike.groupBy(F.col("alike").alias("bucket"), "class", "least").agg(F.count("*").alias("n")), "buckets")
+
+
 def _sifted(shared: DataFrame) -> DataFrame:
-    """Stored: the rows of classes that share as many signatures of a band as any similar set must have in common.
+    """Stored: (bucket, class, n) of classes that share as many signatures of a band as any similar set must have in common.
 
     A set that merely has a few features of some other sets goes here, before any set is fetched. Buckets that are left
     with one class go too.
     """
-    enough = shared.groupBy("class", "least").agg(F.count("*").alias("n")).filter(F.col("n") >= F.col("least") % (1 << 16)).select("class").distinct()
-    left = stored(shared.join(enough, "class", "left_semi"), "sifted")
+    enough = shared.groupBy("class", "least").agg(F.sum("n").alias("have")).filter(F.col("have") >= F.col("least") % (1 << 16)).select("class").distinct()
+    left = stored(shared.join(enough, "class", "left_semi").groupBy("bucket", "class").agg(F.sum("n").alias("n")), "sifted")
     met = left.groupBy("bucket").agg(F.min("class").alias("first"), F.max("class").alias("last")).filter("first <> last").select("bucket")
     return stored(left.join(met, "bucket", "left_semi"), "sifted")
 
 
 def links(rows: DataFrame, docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
     """Links (a, b) between classes: every class that links to another is joined to it by a path of these."""
-    by = Window.partitionBy("bucket")
-    signs = signatures(docs, words, p, q, text_col).withColumns({"first": F.min("class").over(by), "last": F.max("class").over(by)})
-    shared = stored(signs.filter("first <> last").select("bucket", "class", "least").distinct(), "buckets")
-    for _ in range(SIFTS):
-        shared = _sifted(shared)
+    shared = _sifted(_shared(signatures(docs, words, p, q, text_col)))
     sets = sets_of(docs, rows, shared.select("class").distinct(), words, text_col)
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
-    degree = shared.join(sizes, "bucket").groupBy("class").agg(F.sum("size").alias("degree"))
-    ranked = shared.join(degree, "class")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "class"))["class"].alias("hub"))
+    degree = stored(shared.join(sizes, "bucket").groupBy("class").agg(F.sum(F.col("n") * F.col("size")).alias("degree")), "degree")
+    ranked = stored(shared.join(degree, "class").select("bucket", "class", "degree"), "ranked")
+    hubs = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "class"))["class"].alias("hub")), "bucket_hubs")
     stars = ranked.join(hubs, "bucket")
     found = []
-    for turn in range(ROUNDS):
+    while True:
         stars = stored(stars.filter("hub <> class").select("hub", "class").distinct(), "hubs")
         done = _compared(stars, sets, p, q)
         found.append(done.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
-        last = turn == ROUNDS - 1
-        few = done if last else done.filter("not large")
+        few = done.filter("not large")
         lone = few.filter("not linked").select("hub", F.col("class").alias("a"), F.col("size").alias("size_a"))
         others = few.select("hub", F.col("class").alias("b"), "linked", F.col("size").alias("size_b"))
         near = q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")
         pairs = lone.join(others, "hub").filter(F.expr("a <> b and (linked or a < b)") & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         crowd = False
-        if not last and done.filter("large and not linked").limit(1).count():
+        if done.filter("large and not linked").limit(1).count():
             entries = _entries(done)
             pairs = pairs.unionByName(_met(entries.filter(f"n <= {CROWD}"), p, q))
             stars = entries.filter(f"n > {CROWD}").select(F.col("nearest").alias("hub"), "class").distinct()
@@ -410,6 +432,8 @@ def links(rows: DataFrame, docs: DataFrame, words: int, p: int, q: int, text_col
 def near_duplicates(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, and component_id, the least id that links lead to, itself included.
 
+    Also ``text_hash`` of its text and ``component``, a number for all rows that links lead to (null for empty sets).
+
     Two rows link when the Jaccard similarity of their n-gram sets is at least p/q; features are compared by 64-bit
     hashes. Rows without a word, null texts too, link with nothing. Ids may repeat or be null; a component of null ids
     only has a null component_id. No rows give no rows. Other columns aren't read.
@@ -417,14 +441,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100,
     with passing(docs.sparkSession):
         rows = shingled(docs, words, id_col, text_col)
         labels = components(links(rows, docs, words, p, q, text_col))
-        own = rows.select("id", "n_shingles", "class")
+        own = rows.select("id", "n_shingles", "class", "text_hash")
         joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
         joined = kept(joined, "labelled")
         # Read from a table, the join below deals plain rows, so that Spark can split a component with many of them
         least = kept(joined.filter("component is not null").groupBy("component").agg(F.min("id").alias("least")), "least")
     out = joined.join(least, "component", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"), "text_hash", "component")
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), words=3, p=90, q=100)
+    return near_duplicates(documents(spark, sf_dir), words=3, p=90, q=100).select("doc_id", "n_shingles", "component_id")
