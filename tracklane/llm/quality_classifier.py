@@ -25,10 +25,8 @@ FILTERS, WIDTH = 16, 6
 CHUNK, OVERLAP = 512, 64
 #: Labelled documents that the network is fitted on, at most, and passes over them.
 TRAIN_ROWS, EPOCHS = 2048, 4
-#: Chunks of one document in a training step, at most, drawn anew in each pass.
-TRAIN_CHUNKS = 32
-#: Bytes whose responses are held at once.
-BLOCK = 1 << 18
+#: Bytes whose responses are held at once, and chunks while fitting.
+BLOCK, STEP = 1 << 18, 512
 
 
 @dataclass
@@ -85,14 +83,14 @@ def _pool(net: Network, texts: list[bytes], rows: list[int], out: np.ndarray) ->
 
 
 def _chunk_maxima(net: Network, texts: list[bytes]) -> tuple[np.ndarray, list[int]]:
-    data = np.frombuffer(b"".join(x + bytes(WIDTH - 1) for x in texts) + bytes(1), np.uint8)
+    data = np.frombuffer(b"".join(x + bytes(WIDTH) for x in texts) + bytes(1), np.uint8)
     full = responses(net.table, data)
     bounds, counts, at = [], [], 0
     for x in texts:
         s = chunk_starts(len(x))
         bounds.append(np.stack([at + s, at + np.maximum(np.minimum(s + CHUNK, len(x)), s + 1)], 1))
         counts.append(len(s))
-        at += len(x) + WIDTH - 1
+        at += len(x) + WIDTH
     flat = np.concatenate(bounds).ravel()
     return np.maximum(np.maximum.reduceat(full, flat)[::2] + net.bias, 0), counts
 
@@ -102,8 +100,40 @@ def predict(net: Network, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _winners(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """Of every chunk of the texts and each filter: the largest response, and the bytes of the window that has it.
+
+    Chunks are the same as in scoring, all of them, STEP at a time; also how many each text has.
+    """
+    rows, ends, counts, tops, windows = [], [], [], [], []
+
+    def out() -> None:
+        x = np.stack(rows)
+        full = net.table[0][x[:, :CHUNK]]
+        for j in range(1, WIDTH):
+            full += net.table[j][x[:, j : j + CHUNK]]
+        full[np.arange(CHUNK) >= np.array(ends)[:, None]] = -np.inf
+        where = full.argmax(1)
+        tops.append(np.take_along_axis(full, where[:, None], 1)[:, 0] + net.bias)
+        windows.append(x[np.arange(len(x))[:, None, None], where[:, :, None] + np.arange(WIDTH)])
+        rows.clear()
+        ends.clear()
+
+    for text in texts:
+        data, starts = np.frombuffer(text + bytes(CHUNK + WIDTH), np.uint8), chunk_starts(len(text))
+        counts.append(len(starts))
+        for a in starts:
+            rows.append(data[a : a + CHUNK + WIDTH - 1])
+            ends.append(max(1, len(text) - a))
+            if len(rows) == STEP:
+                out()
+    if rows:
+        out()
+    return np.concatenate(tops), np.concatenate(windows), counts
+
+
 def fit(texts: list[bytes], truth: np.ndarray, seed: int = 0, epochs: int = EPOCHS, batch: int = 16, rate: float = 0.01) -> Network:
-    """Back-propagation through both poolings: only the window that won a chunk passes the gradient on."""
+    """Back-propagation through both poolings, over all chunks: only the window that won a chunk passes the gradient on."""
     luck = np.random.default_rng(seed)
     share = float(np.clip(truth.mean() if len(truth) else 0.5, 0.01, 0.99))
     net = Network(luck.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), luck.normal(0, 0.1, 2 * FILTERS + 1).astype(np.float32))
@@ -117,18 +147,7 @@ def fit(texts: list[bytes], truth: np.ndarray, seed: int = 0, epochs: int = EPOC
         order = luck.permutation(len(texts))
         for b in range(0, len(order), batch):
             ids = order[b : b + batch]
-            rows, counts = [], []
-            for i in ids:
-                s = chunk_starts(len(texts[i]))
-                s = luck.choice(s, TRAIN_CHUNKS, replace=False) if len(s) > TRAIN_CHUNKS else s
-                rows += [np.frombuffer(texts[i][a : a + CHUNK].ljust(CHUNK + WIDTH - 1, b"\0")[: CHUNK + WIDTH - 1], np.uint8) for a in s]
-                counts.append(len(s))
-            x = np.stack(rows)
-            full = net.table[0][x[:, :CHUNK]]
-            for j in range(1, WIDTH):
-                full += net.table[j][x[:, j : j + CHUNK]]
-            where = full.argmax(1)  # chunks x filters
-            top = np.take_along_axis(full, where[:, None], 1)[:, 0] + net.bias
+            top, windows, counts = _winners(net, [texts[i] for i in ids])
             act = np.maximum(top, 0)
             at = np.concatenate([[0], np.cumsum(counts)[:-1]])
             most, n = np.maximum.reduceat(act, at), np.array(counts, np.float32)[:, None]
@@ -140,9 +159,8 @@ def fit(texts: list[bytes], truth: np.ndarray, seed: int = 0, epochs: int = EPOC
             g_act = g_feats[doc, FILTERS:] / n[doc] + g_feats[doc, :FILTERS] * (act == most[doc])
             g_top = g_act * (top > 0)
             g_table = np.zeros_like(net.table)
-            c, f = np.arange(len(x))[:, None], np.broadcast_to(np.arange(FILTERS), where.shape)
             for j in range(WIDTH):
-                np.add.at(g_table[j], (x[c, where + j], f), g_top)
+                np.add.at(g_table[j], (windows[:, :, j], np.arange(FILTERS)), g_top)
             grads = [g_table + 1e-5 * net.table, g_top.sum(0), np.concatenate([feats.T @ err, [err.sum()]]) + 1e-4 * net.head]
             steps += 1
             pace = rate * (0.5 if epoch == epochs - 1 else 1) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
