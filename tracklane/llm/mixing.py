@@ -9,8 +9,6 @@ which documents give the routed amount: whole passes over all of them, and a pre
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,61 +44,75 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
 
 
 class _Network:
-    """Successive shortest paths with potentials; capacities are whole numbers."""
+    """A network with whole-number capacities; edge e goes to ``to[e]`` and has ``room[e]`` left, e ^ 1 is its reverse."""
 
     def __init__(self, n: int):
-        self.edges: list[list[list[int]]] = [[] for _ in range(n)]
-
-    def add(self, a: int, b: int, capacity: int, cost: int) -> list[int]:
-        there, back = [b, capacity, cost, len(self.edges[b])], [a, 0, -cost, len(self.edges[a])]
-        self.edges[a].append(there)
-        self.edges[b].append(back)
-        return back
-
-    def run(self, source: int, sink: int) -> None:
-        potential = [0] * len(self.edges)
-        while True:
-            best: list[int | None] = [None] * len(self.edges)
-            came: dict[int, list[int]] = {}
-            best[source], heap = 0, [(0, source)]
-            while heap:
-                d, a = heapq.heappop(heap)
-                if d > best[a]:
-                    continue
-                for e in self.edges[a]:
-                    b, capacity, cost, _ = e
-                    if capacity and (best[b] is None or d + cost + potential[a] - potential[b] < best[b]):
-                        best[b] = d + cost + potential[a] - potential[b]
-                        came[b] = [a, self.edges[a].index(e)]
-                        heapq.heappush(heap, (best[b], b))
-            if best[sink] is None:
-                return
-            potential = [p + (b or 0) for p, b in zip(potential, best, strict=True)]
-            path, b = [], sink
-            while b != source:
-                a, i = came[b]
-                path.append(self.edges[a][i])
-                b = a
-            amount = min(e[1] for e in path)
-            for e in path:
-                e[1] -= amount
-                self.edges[e[0]][e[3]][1] += amount
+        self.to: list[int] = []
+        self.room: list[int] = []
+        self.at: list[list[int]] = [[] for _ in range(n)]
+
+    def add(self, a: int, b: int, capacity: int) -> int:
+        e = len(self.to)
+        self.to += [b, a]
+        self.room += [capacity, 0]
+        self.at[a].append(e)
+        self.at[b].append(e + 1)
+        return e
+
+    def _levels(self, source: int, sink: int) -> list[int] | None:
+        level = [-1] * len(self.at)
+        level[source], reached = 0, [source]
+        for a in reached:
+            for e in self.at[a]:
+                if self.room[e] and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[a] + 1
+                    reached.append(self.to[e])
+        return level if level[sink] >= 0 else None
+
+    def fill(self, source: int, sink: int) -> None:
+        """Sends as much more as there is room for, by blocking flows along shortest paths."""
+        to, room, at = self.to, self.room, self.at
+        while level := self._levels(source, sink):
+            turn, path, a = [0] * len(at), [], source
+            while True:
+                if a == sink:
+                    amount = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= amount
+                        room[e ^ 1] += amount
+                    full = next(i for i, e in enumerate(path) if not room[e])
+                    a = to[path[full] ^ 1]
+                    del path[full:]
+                while turn[a] < len(at[a]) and not (room[at[a][turn[a]]] and level[to[at[a][turn[a]]]] == level[a] + 1):
+                    turn[a] += 1
+                if turn[a] < len(at[a]):
+                    path.append(at[a][turn[a]])
+                    a = to[path[-1]]
+                elif path:
+                    a = to[path.pop() ^ 1]
+                    turn[a] += 1
+                else:
+                    break
 
 
 def route(capacity: dict[tuple, int], target: dict[str | None, float], most: int = 2) -> dict[tuple, dict[str | None, int]]:
-    """Tokens from each pattern to each of its sources, of least cost. The k-th repetition of a token costs k."""
+    """Tokens from each pattern to each of its sources, of least cost. The k-th repetition of a token costs k.
+
+    Only the edges into patterns have a cost, and a path of least cost uses one of them; so all paths of one cost can be
+    filled up together, cost by cost: the flow stays of least cost.
+    """
     patterns, sources = sorted(capacity, key=repr), sorted(target, key=lambda s: (s is None, s or ""))
     net = _Network(2 + len(patterns) + len(sources))
     number = {s: 2 + len(patterns) + i for i, s in enumerate(sources)}
-    sent: dict[tuple, dict] = {}
-    for i, p in enumerate(patterns, 2):
-        for k in range(most):
-            net.add(0, i, capacity[p], k)
-        sent[p] = {s: net.add(i, number[s], most * capacity[p], 0) for s in dict.fromkeys(p)}
+    supply = [net.add(0, i, 0) for i in range(2, 2 + len(patterns))]
+    sent = {p: {s: net.add(i, number[s], most * capacity[p]) for s in dict.fromkeys(p)} for i, p in enumerate(patterns, 2)}
     for s in sources:
-        net.add(number[s], 1, round(target[s]), 0)
-    net.run(0, 1)
-    return {p: {s: e[1] for s, e in x.items()} for p, x in sent.items()}
+        net.add(number[s], 1, round(target[s]))
+    for _ in range(most):
+        for e, p in zip(supply, patterns, strict=True):
+            net.room[e] += capacity[p]
+        net.fill(0, 1)
+    return {p: {s: net.room[e ^ 1] for s, e in x.items()} for p, x in sent.items()}
 
 
 def sized(docs: DataFrame, size: F.Column, members: F.Column, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
