@@ -62,15 +62,16 @@ _KEY_BEGIN = rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"
 _TO_KEY_END = rb"(?:-{0,4}[^-])*-----END [A-Z ]*PRIVATE KEY-----"
 _BREAK = rb"(?:[\x09-\x0D\x20\"',>|]|\\[nr])*"
 _KEY_LINES = rb"(?:(?:[\x09-\x0D\x20>]*[A-Z][A-Za-z-]*:\x20[^\n]*\n)*" + _BREAK + rb"[A-Za-z0-9+/]{16,}={0,2})+(?:" + _BREAK + rb"[A-Za-z0-9+/]+(?:={1,2}|[\"\x27]|\\[nr]|\r?(?m:$)))?"
-# Public formats of keys that the base kinds miss.
+# Public formats of keys that the base kinds miss. What comes before a mark that may be missing has a
+# bound (a scheme's name, a token's header), so that a long run of letters isn't read again from each of them.
 MORE = (
     Rule("private_key", _KEY_BEGIN + rb"(?:" + _TO_KEY_END + rb"|" + _KEY_LINES + rb")?"),
     Rule("session_key", rb"ASIA[A-Z0-9]{16,}"),
     Rule("forge_token", rb"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", rb"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps_key", rb"AIza[A-Za-z0-9_-]{35}"),
-    Rule("web_token", rb"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("url_password", rb"[a-z][a-z0-9+.-]*://[^\x00-\x20:@/]+:[^\x00-\x20:@/]{6,}@"),
+    Rule("web_token", rb"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
+    Rule("url_password", rb"[a-z][a-z0-9+.-]{0,31}://[^\x00-\x20:@/]+:[^\x00-\x20:@/]{6,}@"),
 )
 
 #: A query: None (every document), or alternatives, each a set of trigrams that must all occur.
