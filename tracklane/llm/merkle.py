@@ -3,14 +3,15 @@
 Leaves are clauses (a run of text with the punctuation and line ends after it), so every byte of the text lies in one
 leaf. Lines make paragraphs, blank lines end sections, and the root covers the sections. Equal texts have equal roots;
 where roots differ, the branches that differ lead to the edits. The likeness of two trees is the share of bytes, of
-both texts, in leaves that the other tree has too.
+both texts, in leaves that the other tree has too. Both are found by descending the trees where they differ.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,59 +50,108 @@ def _clauses(text: bytes) -> Iterator[bytes]:
             yield held
 
 
-@dataclass
-class Tree:
-    """Hashes of a text: the root, and for each section and each paragraph within it; leaves with their bytes."""
+@dataclass(frozen=True, slots=True)
+class Node:
+    """A hash, the bytes of text below it, and its parts: the root has sections, these paragraphs, and these clauses."""
 
-    root: bytes
-    sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]
-    weights: dict[bytes, int]
+    hash: bytes
     size: int
+    parts: tuple[Node, ...] = ()
 
 
-def tree(text: bytes) -> Tree:
-    sections, paragraphs, leaves = [], [], []
-    weights: dict[bytes, int] = {}
+def tree(text: bytes) -> Node:
+    sections, paragraphs, clauses = [], [], []
+
+    def closed(level: bytes, parts: list[Node]) -> Node:
+        return Node(_hash(level, b"".join(p.hash for p in parts)), sum(p.size for p in parts), tuple(parts))
 
     def end_paragraph():
-        nonlocal leaves
-        if leaves:
-            paragraphs.append((_hash(b"\1", b"".join(leaves)), leaves))
-            leaves = []
+        if clauses:
+            paragraphs.append(closed(b"\1", clauses))
+            clauses.clear()
 
     def end_section():
-        nonlocal paragraphs
         end_paragraph()
         if paragraphs:
-            sections.append((_hash(b"\2", b"".join(h for h, _ in paragraphs)), paragraphs))
-            paragraphs = []
+            sections.append(closed(b"\2", paragraphs))
+            paragraphs.clear()
 
     for piece in _clauses(text):
-        leaf = _hash(b"\0", piece)
-        leaves.append(leaf)
-        weights[leaf] = weights.get(leaf, 0) + len(piece)
+        clauses.append(Node(_hash(b"\0", piece), len(piece)))
         if piece.endswith(b"\n"):
             end_section() if piece.endswith(b"\n\n") else end_paragraph()
     end_section()
-    return Tree(_hash(b"\3", b"".join(h for h, _ in sections)), sections, weights, len(text))
-
-
-def likeness(a: Tree, b: Tree) -> float:
-    """1 for equal texts (also two empty ones), 0 for texts without a common clause."""
-    if a.root == b.root:
+    return closed(b"\3", sections)
+
+
+def common_bytes(a: tuple[Node, ...], b: tuple[Node, ...]) -> int:
+    """Bytes in clauses that both sides have, as often as both have them. Equal branches count whole and aren't entered."""
+    left = Counter(n.hash for n in b)
+    common, rest = 0, []
+    for n in a:
+        if left[n.hash]:
+            left[n.hash] -= 1
+            common += n.size
+        elif n.parts:
+            rest += n.parts
+    other = []
+    for n in b:
+        if n.parts and left[n.hash]:
+            left[n.hash] -= 1
+            other += n.parts
+    return common + (common_bytes(tuple(rest), tuple(other)) if rest and other else 0)
+
+
+def likeness(a: Node, b: Node) -> float:
+    """The share of both texts' bytes in common clauses: 1 for equal texts (also two empty ones), 0 if there are none."""
+    if a.hash == b.hash:
         return 1.0
-    few, many = (a.weights, b.weights) if len(a.weights) <= len(b.weights) else (b.weights, a.weights)
-    common = sum(min(n, many[h]) for h, n in few.items() if h in many)
-    return 2 * common / (a.size + b.size)
+    return 2 * common_bytes(a.parts, b.parts) / (a.size + b.size)
+
+
+def unmatched(a: tuple[Node, ...], b: tuple[Node, ...]) -> list[int]:
+    """Positions in ``a`` outside of a longest run of nodes that ``b`` has in the same order (its k-th copy for the k-th)."""
+    places: dict[bytes, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j].hash, []).append(j)
+    ends, last, before = [], [], {}  # the least end of an ascending run of each length, whose it is, and what it follows
+    for i, n in enumerate(a):
+        if places.get(n.hash):
+            j = places[n.hash].pop()
+            k = bisect_left(ends, j)
+            ends[k : k + 1], last[k : k + 1] = [j], [i]
+            before[i] = last[k - 1] if k else None
+    keep, i = set(), last[-1] if last else None
+    while i is not None:
+        keep.add(i)
+        i = before[i]
+    return [i for i in range(len(a)) if i not in keep]
+
+
+def edits(a: Node, b: Node) -> list[tuple[int, int]]:
+    """(section, paragraph) of ``a``, from 0, that ``b`` lacks or has elsewhere; equal branches aren't entered.
+
+    Sections are set against each other first; the paragraphs of those that differ, or have moved, against the
+    paragraphs of ``b``'s that do.
+    """
+    if a.hash == b.hash:
+        return []
+    ours, theirs = unmatched(a.parts, b.parts), unmatched(b.parts, a.parts)
+    at = [(i, j) for i in ours for j in range(len(a.parts[i].parts))]
+    found = unmatched(tuple(a.parts[i].parts[j] for i, j in at), tuple(p for i in theirs for p in b.parts[i].parts))
+    return [at[k] for k in found]
 
 
-def edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """(section, paragraph) of ``a``, from 0, whose hash ``b`` lacks; equal branches aren't entered."""
-    if a.root == b.root:
-        return []
-    whole = {h for h, _ in b.sections}
-    parts = {h for _, p in b.sections for h, _ in p}
-    return [(i, j) for i, (h, p) in enumerate(a.sections) if h not in whole for j, (g, _) in enumerate(p) if g not in parts]
+def first_difference(a: Node, b: Node) -> int | None:
+    """The paragraph, from 0 over all of the text, at which the trees begin to differ; None if they don't."""
+    if a.hash == b.hash:
+        return None
+    at = 0
+    for x, y in zip(a.parts, b.parts, strict=False):
+        if x.hash != y.hash:
+            return at + next((k for k, (p, q) in enumerate(zip(x.parts, y.parts, strict=False)) if p.hash != q.hash), min(len(x.parts), len(y.parts)))
+        at += len(x.parts)
+    return at
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,8 +164,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             trees = [tree((x or "").encode()) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([t.root.hex() for t in trees], pa.string()),
-                 pa.array([[{"hash": h.hex(), "paragraphs": [g.hex() for g, _ in p]} for h, p in t.sections] for t in trees], pa.list_(pa.struct([("hash", pa.string()), ("paragraphs", pa.list_(pa.string()))])))],
+                [batch.column(0), pa.array([t.hash.hex() for t in trees], pa.string()),
+                 pa.array([[{"hash": x.hash.hex(), "paragraphs": [p.hash.hex() for p in x.parts]} for x in t.parts] for t in trees], pa.list_(pa.struct([("hash", pa.string()), ("paragraphs", pa.list_(pa.string()))])))],
                 ["id", "root", "sections"],
             )
 
@@ -160,8 +210,13 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     The edited text has the last quarter of its code points, rounded down, replaced by the first as many of the next
     document by ascending id (all of it if it is shorter; the first document follows the last). Null texts count as
     empty, null ids come first, and rows that share an id follow each other by text. ``edit_at`` is the paragraph, from
-    0, of the first difference, null if there is none. A single row is its own next. No rows give no rows.
+    0, of the first difference, null if there is none. A single row is its own next. No rows give no rows. Ids are whole
+    numbers of any width, else a TypeError tells so; rows of one id, or without one, are put in order by one task.
     """
+    kind = docs.schema[id_col].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"ids must be whole numbers, not {kind.simpleString()}")
+    docs = docs.select(F.col(id_col).cast("long").alias(id_col), text_col)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = with_next(docs, id_col, text_col, parts)
 
@@ -171,9 +226,7 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         edited = text[: len(text) - k] + nxt[1][:k] if k else text
         raw = edited.encode()
         other = tree(raw)
-        ours, theirs = [h for _, p in own.sections for h, _ in p], [h for _, p in other.sections for h, _ in p]
-        at = None if own.root == other.root else next((i for i, (x, y) in enumerate(zip(ours, theirs, strict=False)) if x != y), min(len(ours), len(theirs)))
-        return cur[0], len(text), hashlib.sha256(raw).hexdigest(), own.root.hex(), other.root.hex(), likeness(own, other), likeness(own, nxt[2]), at
+        return cur[0], len(text), hashlib.sha256(raw).hexdigest(), own.hash.hex(), other.hash.hex(), likeness(own, other), likeness(own, nxt[2]), first_difference(own, other)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows come as the range's own, then copies of what follows; the first copy closes the range
@@ -193,10 +246,10 @@ def compare_with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if out:
             yield _batch(out, id_type)
 
-    id_type = pa.int64() if isinstance(docs.schema[id_col].dataType, T.LongType) else None
+    id_type = pa.int64()
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "edit_at"]
-    kinds = [docs.schema[id_col].dataType, T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()]
-    return rows.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])).withColumnRenamed("id", id_col)
+    kinds = [T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.StringType(), T.DoubleType(), T.DoubleType(), T.LongType()]
+    return rows.mapInArrow(run, T.StructType([T.StructField(n, k) for n, k in zip(names, kinds, strict=True)])).withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def _batch(rows: list[tuple], id_type) -> pa.RecordBatch:
