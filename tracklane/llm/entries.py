@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from tracklane.llm.jaccard_join import op8_jaccard_join
 from tracklane.llm.language_model import op3_language_model
 from tracklane.llm.merkle import op1_fingerprints
@@ -25,7 +24,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_mixing": op9_mixing,
     "op10_secret_scan": op10_secret_scan,
-    "pipeline": corpus_pipeline.run,
 }
 _WORD = r"[^\x20\x09-\x0D]+"
 _SPLIT = f"""texts AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents)"""
@@ -103,5 +101,3 @@ chosen AS (
   FROM sized z JOIN quotas q ON q.source IS NOT DISTINCT FROM z.source)
 SELECT doc_id, size, source_size, target, CAST(size * (passes + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM chosen""",
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
