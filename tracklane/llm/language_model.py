@@ -2,10 +2,10 @@
 
 Word counts over all training documents give the vocabulary. Frequent words, in classes of like frequency, are
 predicted by a class softmax and a softmax within the class; every other word belongs to one of a few tail classes by
-its ending, and has its share of the class by count, with room for unseen words. So the model is a probability over all
-texts. It starts out as the unigram model of the counts. Truncated back-propagation on a seeded sample of training
+its ending, and has its share of the class by count; all unseen words of a class share one place in it. So the model is
+a probability over texts whose unseen words are told apart by class only. It starts out as the unigram model of the counts. Truncated back-propagation on a seeded sample of training
 documents gives it a start; then every partition goes on training it on all of its own documents, and the copies are
-averaged by the tokens they have seen. Scoring carries the state of each document from window to window
+averaged by the tokens they have seen (so the network depends on how the input is partitioned). Scoring carries the state of each document from window to window
 until its end.
 
 Counts of the commonest words travel with the model; the counts of other words, whose number grows with the corpus,
@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -33,14 +34,14 @@ from tracklane.llm.common import documents, fold, stored
 HEAD, CLASS, TAILS, STATE = 2048, 64, 16, 16
 #: Words whose counts travel with the model, at most.
 KNOWN = 1 << 17
-#: Documents that the recurrent part starts from, on average; lanes, window and passes of that training.
-TRAIN_DOCS, LANES, WINDOW, PASSES = 1500, 64, 16, 2
-#: Lanes of the training in partitions, and tokens trained at once.
-MANY_LANES, BATCH_TOKENS = 128, 1 << 20
-#: Groups in which copies of the network are averaged, level by level; the driver averages those of the last.
-GROUPS = (64, 8)
-#: Documents scored side by side, and tokens between two rounds of the output layer.
-SIDE, STRETCH = 256, 64
+#: Documents and tokens that the recurrent part starts from, on average at most; lanes, window and passes of that training.
+TRAIN_DOCS, TRAIN_TOKENS, LANES, WINDOW, PASSES = 1500, 4 << 20, 64, 16, 2
+#: Lanes of the training in partitions, its pace, and tokens trained at once.
+MANY_LANES, MANY_RATE, BATCH_TOKENS = 512, 0.01, 1 << 20
+#: Copies of the network that are averaged in one place, level by level; the driver averages those of the last.
+FAN = 16
+#: Documents scored side by side, and tokens between two rounds of the output layer; columns of that layer at once.
+SIDE, STRETCH, COLUMNS = 512, 64, 2048
 END = b""
 
 
@@ -86,7 +87,7 @@ class Vocabulary:
     number: dict[bytes, int] = field(default_factory=dict, repr=False)
 
     def __post_init__(self):
-        self.number = _Numbers({w: i for i, w in enumerate(self.words)})
+        self.number = {w: i for i, w in enumerate(self.words)}
         self.head = min(HEAD, len(self.words))
         self.classes = -(-self.head // CLASS)
         self.tails = np.array([tail_of(w) for w in self.words], np.int64)
@@ -100,11 +101,6 @@ class Vocabulary:
         return self.number[END]
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        return -1
-
-
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """From the stored counts; the driver gets KNOWN words at most, and sums by tail class and by size of count."""
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -163,21 +159,30 @@ def start_network(v: Vocabulary, seed: int = 0) -> Network:
     return Network(n(v.head + TAILS + 1, 3 * STATE, s=0.3), n(STATE, 3 * STATE, s=0.3), n(STATE, v.classes + TAILS), np.log(np.array([*by_class, *v.tail_mass])).astype(np.float32), n(v.head, STATE), np.log(mass).astype(np.float32))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
-def _step(net: Network, x: np.ndarray, h: np.ndarray):
-    a, s = net.inputs[x], h @ net.state
-    gates = _sigmoid(a[:, : 2 * STATE] + s[:, : 2 * STATE])
-    z, r, q = gates[:, :STATE], gates[:, STATE:], s[:, 2 * STATE :]
-    n = np.tanh(a[:, 2 * STATE :] + r * q)
-    return n + z * (h - n), z, r, q, n
+def _step(net: Network, act: np.ndarray, h: np.ndarray, gates: np.ndarray, q: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The state after a token. Arrays have a row for each unit and a column for each lane; the last three are filled."""
+    s = net.state.T @ h
+    np.add(act[: 2 * STATE], s[: 2 * STATE], out=gates)
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    q[:] = s[2 * STATE :]
+    np.multiply(gates[STATE:], q, out=n)
+    n += act[2 * STATE :]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= gates[:STATE]
+    out += n
+    return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _by_class(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each symbol, the head's symbols ordered by class, and where each class begins in that order."""
+    cls = np.where(target < v.head, target // CLASS, target - v.head + v.classes).astype(np.int16)
+    order = np.argsort(cls, kind="stable")
+    cuts = np.searchsorted(cls[order], np.arange(v.classes + 1))
+    return cls, order[: cuts[-1]], cuts
 
 
 def symbols(v: Vocabulary, numbers: np.ndarray, tails: np.ndarray) -> np.ndarray:
@@ -186,18 +191,24 @@ def symbols(v: Vocabulary, numbers: np.ndarray, tails: np.ndarray) -> np.ndarray
 
 
 def log_probs(net: Network, v: Vocabulary, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural logs of the symbols' probabilities after the given states."""
-    known = target < v.head
-    cls = np.where(known, target // CLASS, target - v.head + v.classes)
-    out = _log_softmax(h @ net.classes + net.class_bias)[np.arange(len(h)), cls]
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(v.classes + 1))
-    for k in range(v.classes):
-        rows = order[cuts[k] : cuts[k + 1]]
-        if len(rows):
-            block = slice(k * CLASS, min((k + 1) * CLASS, v.head))
-            logits = _log_softmax(h[rows] @ net.words[block].T + net.word_bias[block])
-            out[rows] += logits[np.arange(len(rows)), target[rows] - block.start]
+    """Natural logs of the symbols' probabilities after the given states, a column each."""
+    cls, order, cuts = _by_class(v, target)
+    out = np.empty(len(target), np.float32)
+
+    def logs(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        x -= x.max(0)
+        own = x[of, np.arange(x.shape[1])]
+        return own - np.log(np.exp(x, out=x).sum(0))
+
+    for a in range(0, len(target), COLUMNS):
+        here = slice(a, a + COLUMNS)
+        out[here] = logs(net.classes.T @ h[:, here] + net.class_bias[:, None], cls[here])
+    states, goals = np.ascontiguousarray(h.T)[order], target[order]
+    within = np.empty(len(order), np.float32)
+    for k in np.flatnonzero(np.diff(cuts)):
+        here, block = slice(cuts[k], cuts[k + 1]), slice(k * CLASS, min((k + 1) * CLASS, v.head))
+        within[here] = logs(net.words[block] @ states[here].T + net.word_bias[block][:, None], goals[here] - block.start)
+    out[order] += within
     return out
 
 
@@ -214,58 +225,99 @@ def train(v: Vocabulary, streams: list[np.ndarray], seed: int = 0, passes: int =
         outs = np.concatenate([streams[i] for i in order])
         ins = np.concatenate([np.concatenate([[start], streams[i][:-1]]) for i in order])
         length = max(-(-len(outs) // lanes), WINDOW)
-        outs, ins = np.resize(outs, (lanes, length)), np.resize(ins, (lanes, length))  # the last lane is filled from the first
-        h = np.zeros((lanes, STATE), np.float32)
+        outs, ins = (np.ascontiguousarray(np.resize(x, (lanes, length)).T) for x in (outs, ins))  # the last lane is filled from the first
+        h = np.zeros((STATE, lanes), np.float32)
         for a in range(0, length, WINDOW):
-            x, y = ins[:, a : a + WINDOW], outs[:, a : a + WINDOW]
-            width, kept, hs = x.shape[1], [], []
-            for t in range(width):
-                h = np.where((x[:, t] == start)[:, None], np.float32(0), h)
-                before = h
-                h, z, r, q, n = _step(net, x[:, t], h)
-                kept.append((before, z, r, q, n))
-                hs.append(h)
-            grads = [np.zeros_like(p) for p in net.parts()]
-            dh_out = _output_gradient(net, v, np.concatenate(hs), y.T.ravel(), grads).reshape(width, lanes, STATE)
-            dh = np.zeros_like(h)
-            for t in reversed(range(width)):
-                before, z, r, q, n = kept[t]
-                dh = dh + dh_out[t]
-                dn, dz = dh * (1 - z) * (1 - n * n), dh * (before - n) * z * (1 - z)
-                dr = dn * q * r * (1 - r)
-                da, ds = np.concatenate([dz, dr, dn], 1), np.concatenate([dz, dr, dn * r], 1)
-                np.add.at(grads[0], x[:, t], da)
-                grads[1] += before.T @ ds
-                dh = (dh * z + ds @ net.state.T) * (x[:, t] != start)[:, None]
+            h, grads = _window(net, v, ins[a : a + WINDOW], outs[a : a + WINDOW], h)
             steps += 1
-            pace = rate / (1 + steps / 1500) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
+            pace = np.float32(rate / (1 + steps / 1500) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps))
             for p, g, (m, s) in zip(net.parts(), grads, moments, strict=True):
                 np.clip(g, -1, 1, out=g)
                 m += 0.1 * (g - m)
-                s += 0.001 * (g * g - s)
-                p -= (pace * m / (np.sqrt(s) + 1e-6)).astype(np.float32)
+                g *= g
+                g -= s
+                g *= 0.001
+                s += g
+                np.sqrt(s, out=g)
+                g += 1e-6
+                p -= pace * m / g
     return net
 
 
+def _window(net: Network, v: Vocabulary, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The state after a window of inputs ``x`` and outputs ``y`` (a row a token, a column a lane), and its gradients."""
+    width, lanes = x.shape
+    goes = (x != v.head + TAILS).astype(np.float32)  # 0 where a document starts
+    before, q, n = (np.empty((width, STATE, lanes), np.float32) for _ in range(3))
+    gates, states = np.empty((width, 2 * STATE, lanes), np.float32), np.empty((STATE, width, lanes), np.float32)
+    for t in range(width):
+        np.multiply(h, goes[t], out=before[t])
+        h = _step(net, np.ascontiguousarray(net.inputs[x[t]].T), before[t], gates[t], q[t], n[t])
+        states[:, t] = h
+    grads = [np.zeros_like(p) for p in net.parts()]
+    dh_out = _output_gradient(net, v, states.reshape(STATE, -1), y.ravel(), grads).reshape(STATE, width, lanes)
+    by_input = np.empty((width, lanes, 3 * STATE), np.float32)
+    da, ds, dh = np.empty((3 * STATE, lanes), np.float32), np.empty((3 * STATE, lanes), np.float32), np.zeros((STATE, lanes), np.float32)
+    dz, dr, dn = da[:STATE], da[STATE : 2 * STATE], da[2 * STATE :]
+    for t in reversed(range(width)):
+        z, r = gates[t, :STATE], gates[t, STATE:]
+        stays = 1 - z
+        dh += dh_out[:, t]
+        np.multiply(n[t], n[t], out=dn)
+        np.subtract(1, dn, out=dn)
+        dn *= stays
+        dn *= dh
+        np.subtract(before[t], n[t], out=dz)
+        dz *= z
+        dz *= stays
+        dz *= dh
+        np.subtract(1, r, out=dr)
+        dr *= r
+        dr *= q[t]
+        dr *= dn
+        ds[: 2 * STATE] = da[: 2 * STATE]
+        np.multiply(dn, r, out=ds[2 * STATE :])
+        grads[1] += before[t] @ ds.T
+        dh *= z
+        dh += net.state @ ds
+        dh *= goes[t]
+        by_input[t] = da.T
+    symbol = x.ravel().astype(np.int16)
+    order = np.argsort(symbol, kind="stable")
+    first = np.flatnonzero(np.diff(symbol[order], prepend=-1))
+    grads[0][symbol[order[first]]] = np.add.reduceat(by_input.reshape(-1, 3 * STATE)[order], first)
+    return h, grads
+
+
 def _output_gradient(net: Network, v: Vocabulary, h: np.ndarray, target: np.ndarray, grads: list[np.ndarray]) -> np.ndarray:
-    known = target < v.head
-    cls = np.where(known, target // CLASS, target - v.head + v.classes)
-    scale = np.float32(1 / len(h))
-    d = np.exp(_log_softmax(h @ net.classes + net.class_bias))
-    d[np.arange(len(h)), cls] -= 1
-    d *= scale
-    grads[2] += h.T @ d
-    grads[3] += d.sum(0)
-    out = d @ net.classes.T
-    for k in np.unique(cls[known]):
-        rows = np.flatnonzero(cls == k)
-        block = slice(k * CLASS, min((k + 1) * CLASS, v.head))
-        d = np.exp(_log_softmax(h[rows] @ net.words[block].T + net.word_bias[block]))
-        d[np.arange(len(rows)), target[rows] - block.start] -= 1
-        d *= scale
-        grads[4][block] += d.T @ h[rows]
-        grads[5][block] += d.sum(0)
-        out[rows] += d @ net.words[block]
+    """The gradient of the mean loss by the states (a column each); those of the output layer are added to ``grads``."""
+    cls, order, cuts = _by_class(v, target)
+    scale = np.float32(1 / len(target))
+
+    def errors(x: np.ndarray, of: np.ndarray) -> np.ndarray:
+        x -= x.max(0)
+        np.exp(x, out=x)
+        x *= scale / x.sum(0)
+        x[of, np.arange(x.shape[1])] -= scale
+        return x
+
+    out = np.empty_like(h)
+    for a in range(0, len(target), COLUMNS):
+        here = slice(a, a + COLUMNS)
+        d = errors(net.classes.T @ h[:, here] + net.class_bias[:, None], cls[here])
+        grads[2] += h[:, here] @ d.T
+        grads[3] += d.sum(1)
+        out[:, here] = net.classes @ d
+    states, goals = np.ascontiguousarray(h.T)[order], target[order]
+    for k in np.flatnonzero(np.diff(cuts)):
+        here, block = slice(cuts[k], cuts[k + 1]), slice(k * CLASS, min((k + 1) * CLASS, v.head))
+        d = errors(net.words[block] @ states[here].T + net.word_bias[block][:, None], goals[here] - block.start)
+        grads[4][block] += d @ states[here]
+        grads[5][block] += d.sum(1)
+        states[here] = d.T @ net.words[block]  # no longer needed, so the gradient takes their place
+    by_word = np.zeros((len(target), STATE), np.float32)
+    by_word[order] = states
+    out += by_word.T
     return out
 
 
@@ -278,31 +330,33 @@ def document_scores(net: Network, v: Vocabulary, streams: list[np.ndarray]) -> n
         group = order[a : a + SIDE]
         sizes = np.array([len(streams[i]) for i in group])
         longest = int(sizes[0])
-        h, last = np.zeros((len(group), STATE), np.float32), np.full(len(group), start)
+        h, last = np.zeros((STATE, len(group)), np.float32), np.full(len(group), start)
+        buffers = [np.empty((k * STATE, len(group)), np.float32) for k in (2, 1, 1)]
         for b in range(0, longest, STRETCH):
             width = min(STRETCH, longest - b)
             alive = int((sizes > b).sum())
-            y = np.zeros((alive, width), np.int64)
+            y = np.zeros((width, alive), np.int64)
             for k in range(alive):
                 own = streams[group[k]][b : b + width]
-                y[k, : len(own)] = own
-            states, lane, symbol = [], [], []
-            for t in range(width):
-                n = int((sizes[:alive] > b + t).sum())
-                h[:n] = _step(net, last[:n], h[:n])[0]
-                last[:n] = y[:n, t]
-                states.append(h[:n].copy())
-                lane.append(np.arange(n))
-                symbol.append(y[:n, t])
-            logs = log_probs(net, v, np.concatenate(states), np.concatenate(symbol))
-            out[np.array(group)[:alive]] += np.bincount(np.concatenate(lane), logs, alive)
+                y[: len(own), k] = own
+            states, symbol = [], []
+            left = [int(x) for x in np.searchsorted(-sizes[:alive], -(b + np.arange(width)), side="left")]
+            for t, m in enumerate(left):
+                if m < len(last):  # documents that have ended go; arrays stay in one piece
+                    h, last, buffers = np.ascontiguousarray(h[:, :m]), last[:m], [np.empty((len(x), m), np.float32) for x in buffers]
+                h = _step(net, np.ascontiguousarray(net.inputs[last].T), h, *buffers)
+                last = y[t, :m]
+                states.append(h)
+                symbol.append(last)
+            logs = log_probs(net, v, np.concatenate(states, 1), np.concatenate(symbol))
+            out[np.array(group)[:alive]] += np.bincount(np.concatenate([np.arange(m) for m in left]), logs, alive)
     return out / np.log(10)
 
 
 def numbered(v: Vocabulary, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each token its number (-1: not among the known), its tail class; and the hashes of the unknown ones."""
     tokens = tokens_of(text)
-    numbers = np.fromiter(map(v.number.__getitem__, tokens), np.int64, len(tokens))
+    numbers = np.fromiter(map(v.number.get, tokens, repeat(-1)), np.int64, len(tokens))
     tails = v.tails[numbers]
     rare = np.flatnonzero(numbers < 0)
     words = [tokens[i] for i in rare]
@@ -313,8 +367,8 @@ def numbered(v: Vocabulary, text: bytes) -> tuple[np.ndarray, np.ndarray, np.nda
 def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) -> Network:
     """The network after each partition has trained it on all of its documents, averaged by tokens.
 
-    A partition sends one copy, whatever its size; copies are averaged in levels of GROUPS tasks, and the driver gets
-    one from each of the last. Copies are added up in the order of their partitions, so reruns agree.
+    A partition sends one copy, whatever its size. Copies are averaged level by level, FAN neighbours at a time, until
+    the driver gets FAN of them at most. They are added up in the order of their partitions, so reruns agree.
     """
     shapes = [p.shape for p in net.parts()]
     shared = training.sparkSession.sparkContext.broadcast((v, net.parts()))
@@ -331,26 +385,33 @@ def refined(training: DataFrame, v: Vocabulary, net: Network, text_col: str) ->
                 streams.append(stream)
                 held += len(stream)
                 if held >= BATCH_TOKENS:
-                    model, seen, streams, held = train(own, streams, passes=1, rate=0.003, lanes=MANY_LANES, begin=model), seen + held, [], 0
+                    model, seen, streams, held = train(own, streams, passes=1, rate=MANY_RATE, lanes=MANY_LANES, begin=model), seen + held, [], 0
         if held:
             lanes = min(MANY_LANES, max(1, held // WINDOW))
-            model, seen = train(own, streams, passes=1, rate=0.003, lanes=lanes, begin=model), seen + held
+            model, seen = train(own, streams, passes=1, rate=MANY_RATE, lanes=lanes, begin=model), seen + held
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seen], pa.int64()), pa.array([(flat(model.parts()) * seen).tobytes()], pa.binary())], ["part", "seen", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, seen, sums = None, 0, None
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([group], pa.int32()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "seen", "sums"])
+
+        group, seen, sums = None, 0, None
         for batch in batches:
             for part, n, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                first = part if first is None else first
-                seen, sums = seen + n, np.frombuffer(more) if sums is None else sums + np.frombuffer(more)
+                if group is not None and part // FAN != group:
+                    yield out()
+                    seen, sums = 0, None
+                group, seen, sums = part // FAN, seen + n, np.frombuffer(more) if sums is None else sums + np.frombuffer(more)
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int32()), pa.array([seen], pa.int64()), pa.array([sums.tobytes()], pa.binary())], ["part", "seen", "sums"])
+            yield out()
 
     schema = "part int, seen long, sums binary"
     copies = stored(training.select(F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema), "networks")
-    for groups in GROUPS:
-        copies = copies.repartition(groups, F.pmod("part", F.lit(groups))).sortWithinPartitions("part").mapInArrow(add, schema)
+    top = copies.agg(F.max("part")).first()[0] or 0
+    while top >= FAN:  # a level reads FAN copies for each that it writes
+        top //= FAN
+        copies = copies.repartition(top + 1, F.expr(f"part div {FAN}")).sortWithinPartitions("part").mapInArrow(add, schema)
     found = sorted(copies.collect(), key=lambda r: r["part"])
     if not found:
         return net
@@ -384,7 +445,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
     counts = word_counts(training, text_col)
     v = vocabulary(counts)
     rows_to_learn = int(v.counts[v.end])
-    share = min(1.0, TRAIN_DOCS / max(rows_to_learn, 1))
+    share = min(1.0, TRAIN_DOCS / max(rows_to_learn, 1), TRAIN_TOKENS / max(v.total, 1))
     sample = start_sample(training, share, id_col, text_col).collect()
     streams = [symbols(v, *numbered(v, bytes(r["t"] or b""))[:2]) for r in sorted(sample, key=lambda r: bytes(r["t"] or b""))]
     net = refined(training, v, train(v, streams), text_col)
