@@ -28,6 +28,21 @@ def assigned(words: DataFrame, turns: DataFrame, key: tuple[str, ...] = ("file_i
     return sums.groupBy(*key).agg(F.min_by("speaker", F.struct(-F.col("total"), "first", "speaker")).alias("speaker"))
 
 
+def _named(words: DataFrame, turns: DataFrame, carried: list[str], bin_us: int = BIN_US) -> DataFrame:
+    """``words`` (file_id, seg_id, pos and the carried columns) with ``speaker``, by the rule of ``assigned``."""
+    bin_of = lambda x: F.floor(x / bin_us)
+    key = ["file_id", "seg_id", "pos"]
+    w = words.select(*key, *carried, F.explode(F.sequence(bin_of(F.col("start_us")), bin_of(F.greatest(F.col("end_us") - 1, "start_us")))).alias("bin"))
+    t = turns.filter("end_us > start_us").select(F.col("file_id").alias("of"), F.col("start_us").alias("ts"), F.col("end_us").alias("te"), "speaker", F.explode(F.sequence(bin_of(F.col("start_us")), bin_of(F.col("end_us") - 1))).alias("at"))
+    later = F.greatest("start_us", "ts")
+    meets = (F.col("file_id") == F.col("of")) & (F.col("bin") == F.col("at")) & (F.col("start_us") < F.col("te")) & (F.col("ts") < F.col("end_us")) & (F.col("start_us") < F.col("end_us")) & (F.col("bin") == bin_of(later))
+    dealt = w.join(t, meets, "left").repartition("file_id", "seg_id")
+    firsts = [F.first(c).alias(c) for c in carried]
+    sums = dealt.groupBy(*key, "speaker").agg(F.sum(overlap(F.col("start_us"), F.col("end_us"), F.col("ts"), F.col("te"))).alias("total"), F.min("ts").alias("first"), *firsts)
+    best = F.min_by("speaker", F.when(F.col("speaker").isNotNull(), F.struct(-F.col("total"), "first", "speaker"))).alias("speaker")
+    return sums.groupBy(*key).agg(best, *firsts)
+
+
 def runs(words: DataFrame) -> DataFrame:
     """``words`` (file_id, seg_id, pos, speaker, ...) with ``run`` from 0: a run ends where the speaker changes."""
     by = Window.partitionBy("file_id", "seg_id").orderBy("pos")
@@ -53,17 +68,21 @@ def split_segments(segments: DataFrame, turns: DataFrame | None) -> DataFrame:
 
 
 def split_words(exploded: DataFrame, turns: DataFrame | None) -> DataFrame:
-    """The same for words as rows: file_id, seg_id, seg_start, seg_end, seg_text, pos, start_us, end_us, word, probability."""
-    if turns is None:
-        named = exploded.withColumn("speaker", F.lit(None).cast("long"))
-    else:
-        named = exploded.join(assigned(exploded, turns, ("file_id", "seg_id", "pos")), ["file_id", "seg_id", "pos"], "left")
+    """The same for words as rows: file_id, seg_id, pos, start_us, end_us, word, probability.
+
+    Also seg_start, seg_end and seg_text, where a segment's own bounds and text aren't those of its words, joined by
+    spaces. After the interval join words are dealt by segment once, for all that follows.
+    """
+    whole = [c for c in ("seg_start", "seg_end", "seg_text") if c in exploded.columns]
+    named = exploded.withColumn("speaker", F.lit(None).cast("long")) if turns is None else _named(exploded, turns, [*whole, "start_us", "end_us", "word", "probability"])
     word = F.struct("pos", "start_us", "end_us", "word", "probability", "speaker")
     grouped = runs(named).groupBy("file_id", "seg_id", "run").agg(
-        F.array_sort(F.collect_list(word)).alias("ws"), F.first("speaker").alias("speaker"), F.first("seg_start").alias("seg_start"), F.first("seg_end").alias("seg_end"), F.first("seg_text").alias("seg_text")
+        F.array_sort(F.collect_list(word)).alias("ws"), F.first("speaker").alias("speaker"), *(F.first(c).alias(c) for c in whole)
     )
     alone = F.count("*").over(Window.partitionBy("file_id", "seg_id")) == 1
     ws = F.col("ws")
+    if not whole:
+        grouped = grouped.withColumns({"seg_start": ws[0]["start_us"], "seg_end": F.element_at(ws, -1)["end_us"], "seg_text": F.array_join(F.transform(ws, lambda w: w["word"]), " ")})
     return grouped.withColumn("alone", alone).select(
         "file_id", "seg_id", "run",
         F.when(F.col("alone"), F.col("seg_start")).otherwise(ws[0]["start_us"]).alias("start_us"),

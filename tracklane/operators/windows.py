@@ -72,20 +72,16 @@ def windows(regions: DataFrame, frames: DataFrame | None, frame_samples: int) ->
     ceiling.
     """
     kept = regions.filter("end_sample > start_sample").select("file_id", "start_sample", "end_sample")
-    too_long = F.col("end_sample") - F.col("start_sample") > WINDOW_SAMPLES
-    none = {"probs": F.lit(None).cast("array<double>"), "from_frame": F.lit(None).cast("long")}
-    short = kept.filter(~too_long).withColumns(none)
     if frames is None or not frame_samples:
-        cut = kept.filter(too_long).withColumns(none)
+        kept = kept.withColumns({"probs": F.lit(None).cast("array<double>"), "from_frame": F.lit(None).cast("long")})
     else:
         bin_of = lambda x: F.floor(x / WINDOW_SAMPLES)
-        long = kept.filter(too_long).withColumn("from_frame", search_from(F.col("start_sample"), frame_samples))
-        dealt = long.withColumn("bin", F.explode(F.sequence(bin_of(F.col("from_frame") * frame_samples), bin_of(F.col("end_sample")))))
+        kept = kept.withColumn("from_frame", search_from(F.col("start_sample"), frame_samples))
+        dealt = kept.filter(F.col("end_sample") - F.col("start_sample") > WINDOW_SAMPLES).withColumn("bin", F.explode(F.sequence(bin_of(F.col("from_frame") * frame_samples), bin_of(F.col("end_sample")))))
         scores = frames.select("file_id", "frame", "p", bin_of(F.col("frame") * frame_samples).alias("bin"))
         met = dealt.join(scores, ["file_id", "bin"]).filter((F.col("frame") >= F.col("from_frame")) & (F.col("frame") * frame_samples < F.col("end_sample")))
         listed = met.groupBy("file_id", "start_sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "p"))), lambda x: x["p"]).alias("probs"))
-        cut = long.join(listed, ["file_id", "start_sample"], "left").select(short.columns)
-    kept = short.unionByName(cut)
+        kept = kept.join(listed, ["file_id", "start_sample"], "left")
     files = sliced(kept, frame_samples).groupBy("file_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col("start_sample").alias("start"), F.col("end_sample").alias("end"), "tail"))).alias("rs"), F.flatten(F.collect_list("cuts")).alias("cuts")
     )

@@ -70,14 +70,9 @@ def segments(spoken: DataFrame) -> DataFrame:
 
 
 def segment_words(spoken: DataFrame) -> DataFrame:
-    """The same segments as a row for each word: file_id, seg_id, seg_start, seg_end, seg_text, pos, and the word's columns."""
-    rows = spoken.withColumn("seg_id", F.floor(F.col("word_id") / SEGMENT_WORDS))
-    whole = Window.partitionBy("file_id", "seg_id")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_id", "word")).over(whole)), lambda w: w["word"]), " ")
-    return rows.select(
-        "file_id", "seg_id", F.min("start_us").over(whole).alias("seg_start"), F.max("end_us").over(whole).alias("seg_end"), text.alias("seg_text"),
-        (F.col("word_id") - F.col("seg_id") * SEGMENT_WORDS).cast("int").alias("pos"), "start_us", "end_us", "word", F.lit(1.0).alias("probability"),
-    )
+    """The same segments as a row for each word: file_id, seg_id, pos, start_us, end_us, word, probability."""
+    seg = F.floor(F.col("word_id") / SEGMENT_WORDS)
+    return spoken.select("file_id", seg.alias("seg_id"), (F.col("word_id") - seg * SEGMENT_WORDS).cast("int").alias("pos"), "start_us", "end_us", "word", F.lit(1.0).alias("probability"))
 
 
 def tokens(spoken: DataFrame) -> DataFrame:
