@@ -25,8 +25,6 @@ from tracklane.llm.common import documents, stored
 LENGTH = 1024
 #: Code points encoded at once; a longer text is cut before a lone space between two words, where ids don't depend on it.
 CHUNK = 1 << 16
-#: How ids are stored between the passes; the vocabulary has fewer than 65,536 ids.
-WIDTH = "<u2"
 
 
 def vocabulary(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -51,6 +49,7 @@ class Encoder:
         self.special = {"<|endoftext|>": 50256} if special is None else special
         self.inner = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.allowed = set(self.special)
+        self.largest = max([*ranks.values(), *self.special.values()], default=0)
 
     def _parts(self, text: str) -> Iterator[str]:
         start = 0
@@ -74,10 +73,11 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = Encoder(ranks), TaskContext.get().partitionId(), 0
+        width = "<u2" if max(encoder.largest, end_id) < 1 << 16 else "<u4"  # the second pass tells it by the bytes of an id
         for batch in batches:
             offsets, sizes, ids = [], [], []
             for text in batch.column(1).to_pylist():
-                own = np.append(encoder.ids(text or ""), end_id).astype(WIDTH)
+                own = np.append(encoder.ids(text or ""), end_id).astype(width)
                 offsets.append(at)
                 sizes.append(len(own))
                 ids.append(own.tobytes())
@@ -104,7 +104,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = shared.value
         for batch in batches:
-            part, local, raw = (batch.column(i).to_pylist() for i in (1, 2, 4))
+            part, local, tokens, raw = (batch.column(i).to_pylist() for i in (1, 2, 3, 4))
             row, start, size, ids, total, where, held = [], [], [], [], [], [], 0
 
             def out():
@@ -115,7 +115,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
                 )
 
             for i in range(batch.num_rows):
-                own = np.frombuffer(raw[i], WIDTH).astype("<u4")
+                own = np.frombuffer(raw[i], f"<u{len(raw[i]) // tokens[i]}").astype("<u4")
                 g, a = base[part[i]] + local[i], 0
                 while a < len(own):
                     b = min(len(own), a + length - (g + a) % length)
