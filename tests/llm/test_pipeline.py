@@ -45,6 +45,15 @@ def masked(text: str) -> str:
     return (out + raw[end:]).decode()
 
 
+def test_near_copies_keep_unlike_rows_of_an_id(spark):
+    line = lambda k: " ".join(f"word{k}x{i}" for i in range(40))
+    rows = [(7, line(1)), (7, line(2)), (7, line(1)), (8, line(1) + " more"), (9, line(3)), (None, line(4)), (None, line(4)), (None, line(3)), (0, line(5)), (None, line(5)), (3, None), (3, ""), (4, " ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r["doc_id"], r["text"] or "") for r in corpus_pipeline.near_copies(spark, df, None).collect())
+    assert got == Counter([(7, line(1)), (7, line(2)), (9, line(3)), (None, line(4)), (0, line(5)), (3, ""), (4, " ")])
+    assert corpus_pipeline.near_copies(spark, df.limit(0), None).count() == 0
+
+
 def mixed(docs: list[tuple[int, str, str]]) -> list[tuple[int, str, int]]:
     sized = [(i, t, s, len(WORD.findall(t))) for i, t, s in docs]
     sizes = Counter()
