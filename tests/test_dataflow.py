@@ -8,9 +8,9 @@ import numpy as np
 import pytest
 
 from tracklane import params
-from tracklane.errors import AudioEmpty, AudioError, BackendError, DownloadError, ModelNotFound
+from tracklane.errors import AudioEmpty, AudioError, BackendError, DownloadError, ModelNotFound, RuntimeMissing
 from tracklane.operators import regions
-from tracklane.plans import backends, conversion, registry
+from tracklane.plans import backends, conversion, registry, runtime
 from tracklane.plans.transcription import SpeechModel, StreamingModel
 from tracklane.sources import containers
 from tracklane.sources.audio import decoded, signals
@@ -237,6 +237,37 @@ def test_logging_leaves_the_programs_own(monkeypatch):
         logging.getLogger("tracklane.plans").setLevel(logging.NOTSET)
 
 
+def test_runtime_library(tmp_path, monkeypatch):
+    capi = tmp_path / "onnxpackage" / "capi"
+    capi.mkdir(parents=True)
+    (capi.parent / "__init__.py").write_text("raise ImportError('not to be imported')")
+    for name in ("libonnxruntime.so.1.29.0", "libonnxruntime.1.28.0.dylib", "onnxruntime_pybind11_state.so", "onnxruntime_validation.py"):
+        (capi / name).write_text("")
+    monkeypatch.syspath_prepend(str(tmp_path))
+    monkeypatch.delenv(runtime.VARIABLE, raising=False)
+    found = runtime.packaged("onnxpackage")
+    assert [p.rpartition("/")[2] for p in found] == ["libonnxruntime.1.28.0.dylib", "libonnxruntime.so.1.29.0"] and runtime.packaged("no_such_package") == []
+    assert runtime.runtime_library(lambda: ["/nowhere/x.so", found[1]]) == found[1]
+    for wrong in (list, lambda: ["/nowhere/x.so"]):
+        with pytest.raises(RuntimeMissing, match="install"):
+            runtime.runtime_library(wrong)
+    monkeypatch.setenv(runtime.VARIABLE, found[0])
+
+    def unasked():
+        raise AssertionError("candidates are looked for although a library is named")
+
+    assert runtime.runtime_library(unasked) == found[0]
+    monkeypatch.setenv(runtime.VARIABLE, "/nowhere/y.so")
+    with pytest.raises(OSError, match="nowhere"):
+        runtime.runtime_library()
+    calls = []
+    for _ in range(2):
+        assert runtime.loaded_once(lambda p: calls.append(p) or True, found[0]) == found[0]
+        with pytest.raises(RuntimeMissing):
+            runtime.loaded_once(lambda p: calls.append(p), found[1])
+    assert calls == found
+
+
 def test_time_marks_are_rounded():
     index = lambda x: params.DecodeOptions(max_initial_timestamp=x).max_initial_timestamp_index
     assert [index(x) for x in (1.0, 0.0, 0.01, 0.0099, 2.5)] == [50, 0, 1, 0, 125]

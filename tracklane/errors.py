@@ -22,5 +22,9 @@ class DownloadError(OSError):
         super().__init__(f"model {name!r} didn't arrive: {message}")
 
 
+class RuntimeMissing(OSError):
+    """A shared library that a backend needs isn't there, or can't be loaded."""
+
+
 class BackendError(RuntimeError):
     """A scoring, recognition or speaker backend failed or isn't registered."""
