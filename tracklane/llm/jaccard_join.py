@@ -45,8 +45,8 @@ SECOND = (2, 3, 4)
 SMALL = 16
 #: And an entry of the prefix index, whose pairs are then sifted by position, up to so many.
 CROWD = 64
-#: Texts sampled, on average at most, to find features that many have, and how many of them make a feature common.
-SAMPLE, COMMON = 8192, 8
+#: Texts, and features of theirs, sampled on average at most to find features that many have, and how many make one common.
+SAMPLE, SAMPLE_FEATURES, COMMON = 8192, 8 << 20, 8
 #: Bits of a signature beyond those that count the rows. Chance meetings only add candidates, which are sifted.
 MORE_BITS = 21
 #: Bytes in a batch that carries sets.
@@ -92,9 +92,8 @@ class Shingler:
         return np.unique(_mix(out + np.uint64(n)))
 
 
-def common_features(docs: DataFrame, n_rows: int, words: int, text_col: str) -> np.ndarray:
+def common_features(docs: DataFrame, share: float, words: int, text_col: str) -> np.ndarray:
     """Ascending features that at least COMMON of the sampled texts have; of near copies among them one counts."""
-    share = min(1.0, SAMPLE / max(n_rows, 1))
     luck = F.pmod(F.xxhash64(F.col(text_col), F.lit(5)), F.lit(1 << 30))
     rows = docs.filter(luck < int(share * (1 << 30))).select(F.col(text_col).cast("binary").alias("t")).distinct().limit(2 * SAMPLE).collect()
     shingler, sets = Shingler(words), []
@@ -215,12 +214,12 @@ def shingled(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFra
     return stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema), "shingled")
 
 
-def signatures(docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
+def signatures(docs: DataFrame, rows: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
     """(class, bucket, least) for each signature of each set; of copies that a task meets, the first gives them."""
-
-    rows = docs.count()
-    bits = min(64, 8 * -(-(rows.bit_length() + MORE_BITS) // 8))  # whole bytes; what is left out isn't shuffled
-    shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, rows, words, text_col))
+    count, features = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
+    bits = min(64, 8 * -(-(count.bit_length() + MORE_BITS) // 8))  # whole bytes; what is left out isn't shuffled
+    share = min(1.0, SAMPLE / max(count, 1), SAMPLE_FEATURES / max(features, 1))
+    shared = docs.sparkSession.sparkContext.broadcast(common_features(docs, share, words, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, enum = Shingler(words), PartEnum(p, q)
@@ -276,13 +275,18 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, here = Shingler(words), shared.value
+        seen: set[int] = set()  # texts that this task has met: of thousands of copies, one gives its set
         for batch in batches:
             classes, sets = [], []
             for text in batch.column(0).to_pylist():
-                at = _text_hash(text or b"") % BITMAP
-                if here[at >> 3] >> (at & 7) & 1 and len(s := shingler.set_of(text or b"")):
-                    classes.append(class_of(s))
-                    sets.append(s.tobytes())
+                at = _text_hash(text or b"")
+                if here[at % BITMAP >> 3] >> (at & 7) & 1 and at not in seen:
+                    if len(seen) >= 1 << 18:
+                        seen.clear()
+                    seen.add(at)
+                    if len(s := shingler.set_of(text or b"")):
+                        classes.append(class_of(s))
+                        sets.append(s.tobytes())
             if classes:
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sets, pa.binary())], ["class", "features"])
 
@@ -397,7 +401,7 @@ def _sifted(shared: DataFrame) -> DataFrame:
 
 def links(rows: DataFrame, docs: DataFrame, words: int, p: int, q: int, text_col: str) -> DataFrame:
     """Links (a, b) between classes: every class that links to another is joined to it by a path of these."""
-    shared = _sifted(_shared(signatures(docs, words, p, q, text_col)))
+    shared = _sifted(_shared(signatures(docs, rows, words, p, q, text_col)))
     sets = sets_of(docs, rows, shared.select("class").distinct(), words, text_col)
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
     degree = stored(shared.join(sizes, "bucket").groupBy("class").agg(F.sum(F.col("n") * F.col("size")).alias("degree")), "degree")
