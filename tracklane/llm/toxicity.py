@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 from zlib import crc32
 
 import numpy as np
@@ -39,6 +40,8 @@ LEAST_GAIN, LEAST_LIFT = 8.0, 2.0
 NEIGHBOURS, BLOCK = 16, 128
 #: What the telling terms of a text say together, in natural logs of odds, at most.
 MOST_TOLD = 6.0
+#: Documents whose vectors are held at once; postings from which on a list is read as a piece.
+ROWS, PIECE = 1024, 64
 #: Blocks that are opened first, for a k-th best to compare the bounds of the others with.
 FIRST = 2
 _TERM = re.compile(rb"[a-z0-9\x80-\xff]+")
@@ -90,10 +93,9 @@ def choose_terms(texts: list[bytes], truth: np.ndarray, n: int = TERMS) -> dict[
     return {w: float(np.log(lift(w))) for w in sorted((w for w, g in known.items() if g >= LEAST_GAIN), key=lambda w: (-known[w], w))[:n]}
 
 
-def hash_of(term: bytes) -> int:
+def hashes_of(terms: Collection[bytes]) -> np.ndarray:
     """As Spark's xxhash64, signed."""
-    h = xxhash.xxh64_intdigest(term, 42)
-    return h - (1 << 64) if h >> 63 else h
+    return np.fromiter(map(xxhash.xxh64_intdigest, terms, repeat(42)), np.uint64, len(terms)).view(np.int64)
 
 
 def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -101,7 +103,7 @@ def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(c: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(map(hash_of, c)), pa.int64()), pa.array(list(c.values()), pa.int64())], ["hash", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(hashes_of(c)), pa.array(np.fromiter(c.values(), np.int64, len(c)))], ["hash", "n"])
 
         counts: Counter = Counter()
         for batch in batches:
@@ -117,15 +119,22 @@ def document_counts(docs: DataFrame, text_col: str) -> DataFrame:
     return stored(rows.groupBy("hash").agg(F.sum("n").alias("n")), "terms")
 
 
-def commonest(counts: DataFrame, n: int) -> list[tuple[int, int]]:
-    """Hash and count of up to ``n`` terms, whole steps of like counts at a time."""
+def commonest(counts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of up to ``n`` terms, whole steps of like counts at a time."""
     step = F.floor(F.log(F.col("n")) / np.log(1.02)).cast("int")
     left, least = n, 1 << 30
     for r in sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r["step"]):
         if r["n"] > left:
             break
         left, least = left - r["n"], r["step"]
-    return [(r["hash"], r["n"]) for r in counts.filter(step >= least).collect()]
+    return _by_hash(counts.filter(step >= least))
+
+
+def _by_hash(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    found = counts.select("hash", "n").toArrow()
+    hashes, n = (found.column(c).to_numpy() for c in ("hash", "n"))
+    order = np.argsort(hashes)
+    return hashes[order], n[order]
 
 
 @dataclass
@@ -223,8 +232,8 @@ class Index:
         blocks, most = -(-n // BLOCK), min(k, n)
         for i in range(len(queries) if n else 0):
             terms, weights = queries.row(i)
-            starts = self.first[terms]
-            sizes = self.first[terms + 1] - starts
+            starts, ends = self.first[terms], self.first[terms + 1]
+            sizes = ends - starts
             at = _ranges(starts, sizes)
             own = np.repeat(weights, sizes)
             block = self.block[at]
@@ -240,12 +249,22 @@ class Index:
                     ahead &= bound * 2**30 >= keys[best].min()
                 if not ahead.any():
                     break
-                use = np.flatnonzero(ahead[block])
-                size = self.begin[at[use] + 1] - self.begin[at[use]]
-                post = _ranges(self.begin[at[use]], size)
-                found = np.bincount(self.slot[post], self.weight[post] * np.repeat(own[use], size), n)
-                slots = np.flatnonzero(np.repeat(ahead, BLOCK)[:n])
-                keys[slots] = np.rint(found[slots] * 2**30)
+                if 2 * ahead.sum() > blocks:  # most of each list is wanted: whole lists are read, long ones in one piece
+                    first, held = self.begin[starts], self.begin[ends] - self.begin[starts]
+                    short, long = np.flatnonzero(held <= PIECE), np.flatnonzero(held > PIECE)
+                    post = _ranges(first[short], held[short])
+                    cuts = list(zip(first[long].tolist(), (first + held)[long].tolist(), strict=True))
+                    slot, weight = (np.concatenate([x[post], *(x[a:b] for a, b in cuts)]) for x in (self.slot, self.weight))
+                    order = np.concatenate([short, long])
+                    weight *= np.repeat(weights[order], held[order])
+                    slots = slice(None)
+                else:
+                    use = np.flatnonzero(ahead[block])
+                    size = self.begin[at[use] + 1] - self.begin[at[use]]
+                    post = _ranges(self.begin[at[use]], size)
+                    slot, weight = self.slot[post], self.weight[post] * np.repeat(own[use], size)
+                    slots = np.flatnonzero(np.repeat(ahead, BLOCK)[:n])
+                keys[slots] = np.rint(np.bincount(slot, weight, n)[slots] * 2**30)
                 if skip is not None:
                     keys[skip[i]] = -1
                 opened |= ahead
@@ -295,33 +314,61 @@ def _log_odds(votes: np.ndarray) -> np.ndarray:
     return np.log(v / (1 - v))
 
 
+class _Terms(dict):
+    """Numbers of terms, remembered while they are few: those of the examples, then known others, then rare ones."""
+
+    def __init__(self, examples: np.ndarray, known: np.ndarray):
+        self.examples, self.known = examples, known
+        self.rare_from, self.rare = len(examples) + len(known), []
+
+    def __call__(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms, ascending, and how often it has each."""
+        terms = terms_of(text)
+        if len(self) >= 1 << 17:
+            self.clear()
+            self.rare.clear()
+        if new := [t for t in set(terms) if t not in self]:
+            hashes = hashes_of(new)
+            numbers = np.full(len(new), -1)
+            for of, first in ((self.known, len(self.examples)), (self.examples, 0)):
+                at = np.searchsorted(of, hashes)
+                has = np.flatnonzero(of[np.minimum(at, len(of) - 1)] == hashes) if len(of) else []
+                numbers[has] = at[has] + first
+            rare = np.flatnonzero(numbers < 0)
+            numbers[rare] = np.arange(len(rare)) + self.rare_from + len(self.rare)
+            self.rare += hashes[rare].tolist()
+            self.update(zip(new, numbers.tolist(), strict=True))
+        return np.unique(np.fromiter(map(self.__getitem__, terms), np.int64, len(terms)), return_counts=True)
+
+
 @dataclass
 class Model:
-    number: dict[bytes, int]  # of the examples' terms
+    """Terms are told by their hashes; ``idf`` is that of the examples' terms, then of known others, ``tells`` by example term."""
+
+    examples: np.ndarray
+    known: np.ndarray
     idf: np.ndarray
-    known: dict[int, float]  # inverse document frequencies of other terms, by hash
-    telling: dict[bytes, float]
+    tells: np.ndarray
     index: Index
     curve: np.ndarray
     empty: float  # for a text without a term
 
-    def weighed(self, counts: Counter) -> tuple[np.ndarray, np.ndarray, float, float, list[tuple[int, float]]]:
-        """Terms of the examples with their weights, the others' squared length, what the terms tell, and the rest."""
-        own, other, rest = [], 0.0, []
-        for w, c in counts.items():
-            i = self.number.get(w)
-            if i is not None:
-                own.append((i, c))
-                continue
-            h = hash_of(w)
-            idf = self.known.get(h)
-            if idf is None:
-                rest.append((h, (1 + np.log(c)) ** 2))
-            else:
-                other += ((1 + np.log(c)) * idf) ** 2
-        own.sort()
-        t = np.array([i for i, _ in own], np.int64)
-        return t, (1 + np.log(np.array([c for _, c in own], float))) * self.idf[t], other, float(np.clip(sum(v for w, v in self.telling.items() if w in counts), -MOST_TOLD, MOST_TOLD)), rest
+    def __post_init__(self):
+        self.terms = _Terms(self.examples, self.known)
+
+    def __reduce__(self):
+        return Model, (self.examples, self.known, self.idf, self.tells, self.index, self.curve, self.empty)
+
+    def weighed(self, text: bytes) -> tuple[np.ndarray, np.ndarray, float, float, np.ndarray, np.ndarray]:
+        """Terms of the examples with their weights, the others' squared length, what the terms tell; hashes of the rest
+        and the squares of their weights, but for the document frequency."""
+        terms, counts = self.terms(text)
+        own, known = np.searchsorted(terms, (len(self.examples), self.terms.rare_from))
+        weights = 1 + np.log(counts)
+        weights[:known] *= self.idf[terms[:known]]
+        told = float(np.clip(self.tells[terms[:own]].sum(), -MOST_TOLD, MOST_TOLD))
+        rest = np.array([self.terms.rare[i - self.terms.rare_from] for i in terms[known:].tolist()], np.int64)
+        return terms[:own], weights[:own], float(weights[own:known] @ weights[own:known]), told, rest, weights[known:] ** 2
 
     def judged(self, sims: np.ndarray, where: np.ndarray, told: np.ndarray, some: np.ndarray) -> np.ndarray:
         """Scores by the neighbours (positions) with their similarities. ``some``: which rows have a term."""
@@ -331,14 +378,15 @@ class Model:
         return np.round(np.where(some, 1 / (1 + np.exp(-x @ self.curve)), self.empty), 9)
 
 
-def fit(sample: list[tuple[int, str, int]], number: dict[bytes, int], idf: np.ndarray, known: dict[int, float]) -> Model:
-    counts = [Counter(terms_of(t.encode())) for _, t, _ in sample]
+def fit(sample: list[tuple[int, str, int]], examples: np.ndarray, known: np.ndarray, idf: np.ndarray) -> Model:
+    texts = [t.encode() for _, t, _ in sample]
     truth = np.array([y for _, _, y in sample], float)
-    some = np.array([bool(c) for c in counts], bool)
+    some = np.array([bool(_TERM.search(t)) for t in texts], bool)
     share = lambda y: float((y.sum() + 0.1) / (len(y) + 1)) if len(y) else 0.1
-    telling = choose_terms([t.encode() for _, t, _ in sample], truth)
-    model = Model(number, idf, known, telling, None, np.array([1.0, 1.0, 0.0]), share(truth[~some]))
-    found = [model.weighed(c) for c in counts if c]
+    telling, tells = choose_terms(texts, truth), np.zeros(len(examples))
+    tells[np.searchsorted(examples, hashes_of(telling))] = list(telling.values())
+    model = Model(examples, known, idf, tells, None, np.array([1.0, 1.0, 0.0]), share(truth[~some]))
+    found = [model.weighed(t) for t, s in zip(texts, some, strict=True) if s]
     x = Rows.joined([(t, w / np.sqrt(w @ w)) for t, w, *_ in found])
     ids = np.array([i for i, _, _ in sample], np.int64)[some]
     place = np.arange(len(ids))
@@ -359,29 +407,28 @@ def toxicity(docs: DataFrame, sample: list[tuple[int, str, int]], id_col: str =
     repeat. Other columns aren't read.
     """
     session = docs.sparkSession
-    number = {w: i for i, w in enumerate(sorted({w for _, t, _ in sample for w in terms_of(t.encode())}))}
     counts = document_counts(docs, text_col)
     n = docs.count()
-    hashes = {hash_of(w): i for w, i in number.items()}
-    wanted = session.createDataFrame(pa.table({"hash": pa.array(list(hashes), pa.int64())}))  # terms of the bounded sample
-    of = np.ones(len(number))
-    for r in counts.join(F.broadcast(wanted), "hash").collect():
-        of[hashes[r["hash"]]] = r["n"]
-    known = {h: float(np.log(1 + n / c)) for h, c in commonest(counts, KNOWN)}
-    shared = session.sparkContext.broadcast(fit(sample, number, np.log(1 + n / of), known))
+    examples = np.unique(hashes_of({w for _, t, _ in sample for w in terms_of(t.encode())}))
+    wanted = session.createDataFrame(pa.table({"hash": pa.array(examples)}))  # terms of the bounded sample
+    hashes, held = _by_hash(counts.join(F.broadcast(wanted), "hash"))
+    of = np.ones(len(examples))
+    of[np.searchsorted(examples, hashes)] = held
+    known, others = commonest(counts, KNOWN)
+    shared = session.sparkContext.broadcast(fit(sample, examples, known, np.log(1 + n / np.concatenate([of, others]))))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, part, at = shared.value, TaskContext.get().partitionId(), 0
-        for batch in batches:
-            found = [model.weighed(Counter(terms_of(x or b""))) for x in batch.column(1).to_pylist()]
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            found = [model.weighed(x or b"") for x in batch.column(1).to_pylist()]
             sims, where = model.index.nearest(Rows.joined([f[:2] for f in found]), NEIGHBOURS)
             rows = pa.array(np.arange(at, at + batch.num_rows) + (part << 40))
             at += batch.num_rows
-            ends = np.cumsum([0, *(len(f[4]) for f in found)])
-            rest = pa.StructArray.from_arrays([pa.array([h for f in found for h, _ in f[4]], pa.int64()), pa.array([v for f in found for _, v in f[4]], pa.float64())], ["hash", "square"])
+            rest = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *(f[i] for f in found)])) for i, k in ((4, np.int64), (5, float))], ["hash", "square"])
+            ends, each = pa.array(np.cumsum([0, *(len(f[4]) for f in found)]), pa.int32()), pa.array(np.arange(batch.num_rows + 1) * NEIGHBOURS, pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [rows, batch.column(0), pa.array([len(f[0]) + len(f[4]) + (f[2] > 0) > 0 for f in found]), pa.array([float(f[1] @ f[1]) + f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64()),
-                 pa.array(list(where), pa.list_(pa.int64())), pa.array(list(sims), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rest)],
+                 pa.ListArray.from_arrays(each, pa.array(where.ravel())), pa.ListArray.from_arrays(each, pa.array(sims.ravel())), pa.ListArray.from_arrays(ends, rest)],
                 ["row", "id", "some", "square", "told", "where", "products", "rest"],
             )
 
@@ -389,8 +436,8 @@ def toxicity(docs: DataFrame, sample: list[tuple[int, str, int]], id_col: str =
         model = shared.value
         for batch in batches:
             some, square, told = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
-            where = np.array(batch.column(4).to_pylist(), np.int64).reshape(-1, NEIGHBOURS)
-            sims = np.array(batch.column(5).to_pylist(), float).reshape(-1, NEIGHBOURS) / np.sqrt(np.maximum(square, 1e-24))[:, None]
+            where, sims = (batch.column(i).flatten().to_numpy(zero_copy_only=False).reshape(-1, NEIGHBOURS) for i in (4, 5))
+            sims = sims / np.sqrt(np.maximum(square, 1e-24))[:, None]
             score = model.judged(sims, where, told, some)
             ids, truth = model.index.ids, model.index.truth
             evidence = [[{"id": int(ids[j]), "label": int(truth[j]), "similarity": round(float(s), 6)} for j, s in zip(w, v, strict=True) if j >= 0 and e] for w, v, e in zip(where[:, :3], sims[:, :3], some, strict=True)]
