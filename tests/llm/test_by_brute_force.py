@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import time
 import zlib
@@ -376,6 +377,22 @@ def test_similarity_join_loses_no_link(docs, rows, small, small_rows, n, p, monk
         assert got == plain_components(plain, n, p, 100)
 
 
+def test_members_of_a_large_group_are_compared_with_one_hub(spark, monkeypatch):
+    luck = random.Random(8)
+    base, rows = [f"w{luck.randrange(4000)}" for _ in range(200)], []
+    for i in range(120):
+        words = list(base)
+        for _ in range(luck.randint(1, 9)):
+            words[luck.randrange(len(words))] = f"w{luck.randrange(4000)}"
+        rows.append((i, " ".join(words)))
+    rows.append((120, " ".join(base)))
+    stars, compared = [], jaccard_join._compared
+    monkeypatch.setattr(jaccard_join, "_compared", lambda s, *more: stars.append(s.count()) or compared(s, *more))
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == plain_components([(*r, None) for r in rows], 5, 80, 100)
+    assert stars[0] < 2 * len(rows)
+
+
 def test_similar_sets_share_a_signature():
     luck = np.random.default_rng(1)
     for p in (50, 80, 90):

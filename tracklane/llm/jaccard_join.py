@@ -19,6 +19,11 @@ differences, rarest features first, finds the pairs, and what is still crowded t
 round. Members of a crowded entry agree with one another and with their new hub on its feature, so rounds end. No link
 is lost.
 
+A large group of near copies has buckets without the text that it was made from, each with a hub of its own, to which few
+members link. A hub needn't be in its bucket for this: so each bucket takes the best hub that any of its members has in
+another bucket, and the sets to fetch grow with the members, not with members times hubs. Later rounds leave out what
+earlier ones joined.
+
 Near copies share hundreds of signatures, most of them with the same members: buckets with equal members count as one.
 """
 
@@ -295,7 +300,8 @@ def sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int, tex
 
 
 def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Stored: each member with its hub, whether they link, the member's size, and d, the size of their difference.
+    """Stored: each member with its hub, whether they link or are joined already, the member's size, and d, the size of
+    their difference. ``own`` and ``own_hub`` say which component a member and its hub are in by now.
 
     In large groups also the difference itself, and how far into it, rarest features first, others must be met:
     ``seek`` by a member that doesn't link to the hub, ``offer`` by any member to one that doesn't.
@@ -305,13 +311,13 @@ def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
         enum = PartEnum(p, q)
         c = (q - p) / (q + p)
         for batch in batches:
-            large = batch.column(2).to_pylist()
+            large, joins = batch.column(2).to_pylist(), batch.column(5).to_pylist()
             linked, size, d, seek, offer, delta = [], [], [], [], [], []
-            for big, a, b in zip(large, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            for big, a, b, joined in zip(large, batch.column(3).to_pylist(), batch.column(4).to_pylist(), joins, strict=True):
                 h, x = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = np.setxor1d(h, x, assume_unique=True)
                 common = (len(h) + len(x) - len(both)) // 2
-                linked.append(enum.similar(len(h), len(x), common))
+                linked.append(joined or enum.similar(len(h), len(x), common))
                 size.append(len(x))
                 d.append(len(both))
                 # How many features two differences must share at least, if one of the two doesn't link to the hub
@@ -320,15 +326,15 @@ def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
                 seek.append(-1 if linked[-1] else enum.most(len(x) + len(x) * q // p))
                 delta.append(both.view(np.int64) if big else both[:0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked), *(pa.array(v, pa.int64()) for v in (size, d, seek, offer)), pa.array(delta, pa.list_(pa.int64()))],
-                ["hub", "class", "large", "linked", "size", "d", "seek", "offer", "delta"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked), *(pa.array(v, pa.int64()) for v in (size, d, seek, offer)), pa.array(delta, pa.list_(pa.int64())), *batch.columns[6:]],
+                ["hub", "class", "large", "linked", "size", "d", "seek", "offer", "delta", "own", "own_hub"],
             )
 
     # A table, so that the joins below deal plain rows and Spark can split a hub with many members
     sizes = stored(stars.groupBy("hub").agg((F.count("*") > SMALL).alias("large")), "hub_sizes")
     rows = stars.join(sizes, "hub").join(sets.select(F.col("class").alias("hub"), F.col("features").alias("of_hub")), "hub").join(sets, "class")
-    schema = "hub long, class long, large boolean, linked boolean, size long, d long, seek long, offer long, delta array<long>"
-    return stored(rows.select("hub", "class", "large", "of_hub", "features").mapInArrow(run, schema), "stars", SET_BYTES)
+    schema = "hub long, class long, large boolean, linked boolean, size long, d long, seek long, offer long, delta array<long>, own long, own_hub long"
+    return stored(rows.select("hub", "class", "large", "of_hub", "features", F.expr("own = own_hub"), "own", "own_hub").mapInArrow(run, schema), "stars", SET_BYTES)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
@@ -347,30 +353,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long"), "verified", SET_BYTES)
 
 
+def _owners() -> list[Column]:
+    return [F.min("own").alias("first_own"), F.max("own").alias("last_own")]
+
+
+def _left(stars: DataFrame, found: list[DataFrame]) -> DataFrame:
+    """(hub, class, own, own_hub) of the entries whose members aren't all joined by what is found."""
+    labels = components(_union(found))
+    named = stars.join(labels.toDF("class", "own"), "class", "left").join(labels.toDF("hub", "own_hub"), "hub", "left")
+    named = stored(named.withColumns({"own": F.coalesce("own", "class"), "own_hub": F.coalesce("own_hub", "hub")}), "owned")
+    apart = named.groupBy("entry").agg(*_owners()).filter("first_own <> last_own").select("entry")
+    return named.join(apart, "entry", "left_semi")
+
+
+def _union(found: list[DataFrame]) -> DataFrame:
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _entries(done: DataFrame) -> DataFrame:
     """Stored: the prefix index over the differences of large groups, an entry for each feature and member.
 
-    Features that a single member has, or only members that link, can't lead to a pair: they come first, without an
-    entry. The others follow by how many have them, so that a prefix holds the rarest. ``n`` members have an entry.
+    Features that a single member has, or only members that link, or only members of one component, can't lead to a pair:
+    they come first, without an entry. The others follow by how many have them, so that a prefix holds the rarest. ``n``
+    members have an entry.
     """
-    spread = done.filter("large").select("hub", "class", "linked", "size", "d", "seek", "offer", F.explode("delta").alias("feature"))
-    common = spread.groupBy("hub", "feature").agg(F.count("*").alias("have"), F.min("linked").alias("all_linked")).filter("have > 1 and not all_linked").drop("all_linked")
+    spread = done.filter("large").select("hub", "class", "linked", "size", "d", "seek", "offer", "own", F.explode("delta").alias("feature"))
+    common = spread.groupBy("hub", "feature").agg(F.count("*").alias("have"), F.min("linked").alias("all_linked"), *_owners()).filter("have > 1 and not all_linked and first_own <> last_own").select("hub", "feature", "have")
     own = Window.partitionBy("hub", "class")
     at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("have", "feature")) - 1
     placed = spread.join(common, ["hub", "feature"]).withColumn("at", at).withColumns({"seeks": F.col("at") <= F.col("seek"), "offers": F.col("at") <= F.col("offer")}).filter("seeks or offers")
-    ranked = stored(placed.select("hub", "feature", "class", "size", "d", "at", "seeks", "offers"), "placed")
-    met = ranked.groupBy("hub", "feature").agg(F.count("*").alias("n"), F.max("seeks").alias("sought"), F.min_by("class", F.struct("d", "class")).alias("nearest")).filter("n > 1 and sought").drop("sought")
+    ranked = stored(placed.select("hub", "feature", "class", "size", "d", "at", "seeks", "offers", "own"), "placed")
+    met = ranked.groupBy("hub", "feature").agg(F.count("*").alias("n"), F.max("seeks").alias("sought"), F.min_by("class", F.struct("d", "class")).alias("nearest"), *_owners()).filter("n > 1 and sought and first_own <> last_own").select("hub", "feature", "n", "nearest")
     return stored(ranked.join(met, ["hub", "feature"]), "entries")
 
 
 def _met(entries: DataFrame, p: int, q: int) -> DataFrame:
     """Pairs of a member that seeks and one that offers under the same feature, where both prefixes reach it."""
-    a = entries.filter("seeks").select("hub", "feature", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("d").alias("d_a"), F.col("at").alias("at_a"))
-    b = entries.filter("offers").select("hub", "feature", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("d").alias("d_b"), F.col("at").alias("at_b"))
+    a = entries.filter("seeks").select("hub", "feature", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("d").alias("d_a"), F.col("at").alias("at_a"), F.col("own").alias("own_a"))
+    b = entries.filter("offers").select("hub", "feature", F.col("class").alias("b"), F.col("size").alias("size_b"), F.col("d").alias("d_b"), F.col("at").alias("at_b"), F.col("own").alias("own_b"))
     most = F.floor((F.col("size_a") + F.col("size_b")) * (q - p) / (q + p))
     least = F.ceil((F.col("d_a") + F.col("d_b") - most) / 2)
     fits = (F.col("at_a") <= F.col("d_a") - least) & (F.col("at_b") <= F.col("d_b") - least) & (q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b"))
-    return a.join(b, ["hub", "feature"]).filter((F.col("a") != F.col("b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return a.join(b, ["hub", "feature"]).filter((F.col("own_a") != F.col("own_b")) & fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _shared(signs: DataFrame) -> DataFrame:
@@ -406,31 +433,32 @@ def links(rows: DataFrame, docs: DataFrame, words: int, p: int, q: int, text_col
     sizes = shared.groupBy("bucket").agg(F.count("*").alias("size"))
     degree = stored(shared.join(sizes, "bucket").groupBy("class").agg(F.sum(F.col("n") * F.col("size")).alias("degree")), "degree")
     ranked = stored(shared.join(degree, "class").select("bucket", "class", "degree"), "ranked")
-    hubs = stored(ranked.groupBy("bucket").agg(F.max(F.struct("degree", "class"))["class"].alias("hub")), "bucket_hubs")
-    stars = ranked.join(hubs, "bucket")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "class")).alias("hub"))
+    near_hubs = stored(ranked.join(hubs, "bucket").select("bucket", "class", "hub"), "bucket_hubs")
+    best = near_hubs.groupBy("class").agg(F.max("hub").alias("best"))
+    hubs = stored(near_hubs.join(best, "class").groupBy("bucket").agg(F.max("best")["class"].alias("hub")), "bucket_hubs")
+    stars = near_hubs.drop("hub").join(hubs, "bucket").select("hub", "class", F.col("class").alias("own"), F.col("hub").alias("own_hub"))
     found = []
     while True:
-        stars = stored(stars.filter("hub <> class").select("hub", "class").distinct(), "hubs")
+        stars = stored(stars.filter("hub <> class").select("hub", "class", "own", "own_hub").distinct(), "hubs")
         done = _compared(stars, sets, p, q)
-        found.append(done.filter("linked").select(F.col("hub").alias("a"), F.col("class").alias("b")))
+        found.append(done.filter("linked and own <> own_hub").select(F.col("hub").alias("a"), F.col("class").alias("b")))
         few = done.filter("not large")
-        lone = few.filter("not linked").select("hub", F.col("class").alias("a"), F.col("size").alias("size_a"))
-        others = few.select("hub", F.col("class").alias("b"), "linked", F.col("size").alias("size_b"))
+        lone = few.filter("not linked").select("hub", F.col("class").alias("a"), F.col("size").alias("size_a"), F.col("own").alias("own_a"))
+        others = few.select("hub", F.col("class").alias("b"), "linked", F.col("size").alias("size_b"), F.col("own").alias("own_b"))
         near = q * F.least("size_a", "size_b") >= p * F.greatest("size_a", "size_b")
-        pairs = lone.join(others, "hub").filter(F.expr("a <> b and (linked or a < b)") & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = lone.join(others, "hub").filter(F.expr("own_a <> own_b and (linked or a < b)") & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         crowd = False
         if done.filter("large and not linked").limit(1).count():
             entries = _entries(done)
             pairs = pairs.unionByName(_met(entries.filter(f"n <= {CROWD}"), p, q))
-            stars = entries.filter(f"n > {CROWD}").select(F.col("nearest").alias("hub"), "class").distinct()
-            crowd = stars.limit(1).count() > 0
+            crowded = entries.filter(f"n > {CROWD}").select(F.xxhash64("hub", "feature").alias("entry"), F.col("nearest").alias("hub"), "class")
+            crowd = crowded.limit(1).count() > 0
         found.append(_verified(pairs.distinct(), sets, p, q))
         if not crowd:
             break
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+        stars = _left(crowded, found)
+    return _union(found)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
