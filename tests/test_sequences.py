@@ -312,6 +312,23 @@ def test_windows_are_materialised(spark):
     assert out[1]["samples"][:25] == [float(i) for i in range(40, 64)] + [0.0] and not any(out[2]["samples"])
 
 
+def test_many_vectors_are_clustered_without_all_distances(monkeypatch):
+    import tracemalloc
+
+    np = signal.np
+    luck = np.random.default_rng(5)
+    cases = [(luck.normal(0, 1, (n, 4)), most) for n in (1, 2, 40, 200) for most in (None, 3)]
+    want = [clustering.agglomerated(x, most).tolist() for x, most in cases]
+    many = luck.normal(0, 1, (2500, 8))
+    tracemalloc.start()
+    labels = clustering.agglomerated(many, 4)
+    most_held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most_held < 8 * len(many) ** 2 and len(set(labels.tolist())) <= 4
+    monkeypatch.setattr(clustering, "HELD", 0, raising=False)
+    assert [clustering.agglomerated(x, most).tolist() for x, most in cases] == want
+
+
 def test_clusters_stay_apart_by_mean_distance(spark):
     np = signal.np
     luck = np.random.default_rng(4)
