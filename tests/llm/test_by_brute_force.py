@@ -393,6 +393,30 @@ def test_members_of_a_large_group_are_compared_with_one_hub(spark, monkeypatch):
     assert stars[0] < 2 * len(rows)
 
 
+def test_members_that_lack_the_same_features_of_a_hub_are_not_crowded(spark, monkeypatch):
+    luck = random.Random(9)
+    base, rows = [f"w{luck.randrange(4000)}" for _ in range(200)], []
+    for i in range(300):
+        words = list(base)
+        for _ in range(luck.randint(3, 9)):
+            words[luck.randrange(len(words))] = f"w{luck.randrange(4000)}"
+        rows.append((i, " ".join(words)))
+    rows.append((300, " ".join(base)))
+    spread, made, entries = [], [], jaccard_join._entries
+
+    def counted(done):
+        spread.append(done.filter("large").selectExpr("sum(size(delta))", "sum(d)").first())
+        out = entries(done)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_entries", counted)
+    got = Counter(tuple(r) for r in jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == plain_components([(*r, None) for r in rows], 5, 80, 100)
+    assert len(made) == 1 and made[0] < len(rows)
+    assert spread[0][0] < 0.75 * spread[0][1]
+
+
 def test_similar_sets_share_a_signature():
     luck = np.random.default_rng(1)
     for p in (50, 80, 90):

@@ -15,8 +15,8 @@ square of its size. Each bucket of a signature has a hub, the set that shares mo
 it. Whatever links to its hub is in the hub's class. A member x that doesn't link can still link to another member y,
 but only if their differences from the hub, x^h and y^h, have enough features in common, by
 |x^y| = |x^h| + |y^h| - 2|(x^h)&(y^h)|. Small groups are compared pair by pair; in large ones a prefix index over the
-differences, rarest features first, finds the pairs, and what is still crowded there becomes a bucket of the next
-round. Members of a crowded entry agree with one another and with their new hub on its feature, so rounds end. No link
+differences finds the pairs, features that the hub lacks first, rarest of them first, then as many of the hub's own as a
+prefix takes; what is still crowded there becomes a bucket of the next round. Members of a crowded entry agree with one another and with their new hub on its feature, so rounds end. No link
 is lost.
 
 A large group of near copies has buckets without the text that it was made from, each with a hub of its own, to which few
@@ -48,7 +48,7 @@ from tracklane.llm.components import components
 SECOND = (2, 3, 4)
 #: A group of up to so many members is compared pair by pair.
 SMALL = 16
-#: And an entry of the prefix index, whose pairs are then sifted by position, up to so many.
+#: And an entry of the prefix index, whose pairs are then sifted by position, if up to so many members seek or offer in it.
 CROWD = 64
 #: Texts, and features of theirs, sampled on average at most to find features that many have, and how many make one common.
 SAMPLE, SAMPLE_FEATURES, COMMON = 8192, 8 << 20, 8
@@ -303,8 +303,9 @@ def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Stored: each member with its hub, whether they link or are joined already, the member's size, and d, the size of
     their difference. ``own`` and ``own_hub`` say which component a member and its hub are in by now.
 
-    In large groups also the difference itself, and how far into it, rarest features first, others must be met:
-    ``seek`` by a member that doesn't link to the hub, ``offer`` by any member to one that doesn't.
+    In large groups also how far into the difference, in the order of the prefix index, others must be met: ``reach`` by a
+    member that doesn't link to the hub, ``offer`` by any member to one that doesn't. ``delta`` holds the difference so far:
+    the features that the hub lacks, ``outside`` of them, then those that only the hub has, ascending.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,28 +313,32 @@ def _compared(stars: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
         c = (q - p) / (q + p)
         for batch in batches:
             large, joins = batch.column(2).to_pylist(), batch.column(5).to_pylist()
-            linked, size, d, seek, offer, delta = [], [], [], [], [], []
+            linked, size, d, reach, offer, outside, delta = [], [], [], [], [], [], []
             for big, a, b, joined in zip(large, batch.column(3).to_pylist(), batch.column(4).to_pylist(), joins, strict=True):
                 h, x = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = np.setxor1d(h, x, assume_unique=True)
-                common = (len(h) + len(x) - len(both)) // 2
+                at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+                same = h[at] == x
+                common = int(same.sum())
                 linked.append(joined or enum.similar(len(h), len(x), common))
                 size.append(len(x))
-                d.append(len(both))
+                d.append(len(h) + len(x) - 2 * common)
                 # How many features two differences must share at least, if one of the two doesn't link to the hub
-                least = max(1, -(-(len(both) + 1 - int(np.ceil(c * max(0, len(x) - len(h))))) // 2))
-                offer.append(len(both) - least)
-                seek.append(-1 if linked[-1] else enum.most(len(x) + len(x) * q // p))
-                delta.append(both.view(np.int64) if big else both[:0].view(np.int64))
+                least = max(1, -(-(d[-1] + 1 - int(np.ceil(c * max(0, len(x) - len(h))))) // 2))
+                reach.append(enum.most(len(x) + len(x) * q // p))  # of two similar sets only one has what precedes the first that both have
+                offer.append(min(d[-1] - least, reach[-1]))
+                outside.append(len(x) - common)
+                upto = offer[-1] if linked[-1] else reach[-1]  # no less than offer
+                missing = np.delete(h, at[same])[: max(0, upto + 1 - outside[-1])] if big else h[:0]
+                delta.append(np.concatenate([x[~same], missing] if big else [missing]).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked), *(pa.array(v, pa.int64()) for v in (size, d, seek, offer)), pa.array(delta, pa.list_(pa.int64())), *batch.columns[6:]],
-                ["hub", "class", "large", "linked", "size", "d", "seek", "offer", "delta", "own", "own_hub"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(linked), *(pa.array(v, pa.int64()) for v in (size, d, reach, offer, outside)), pa.array(delta, pa.list_(pa.int64())), *batch.columns[6:]],
+                ["hub", "class", "large", "linked", "size", "d", "reach", "offer", "outside", "delta", "own", "own_hub"],
             )
 
     # A table, so that the joins below deal plain rows and Spark can split a hub with many members
     sizes = stored(stars.groupBy("hub").agg((F.count("*") > SMALL).alias("large")), "hub_sizes")
     rows = stars.join(sizes, "hub").join(sets.select(F.col("class").alias("hub"), F.col("features").alias("of_hub")), "hub").join(sets, "class")
-    schema = "hub long, class long, large boolean, linked boolean, size long, d long, seek long, offer long, delta array<long>, own long, own_hub long"
+    schema = "hub long, class long, large boolean, linked boolean, size long, d long, reach long, offer long, outside long, delta array<long>, own long, own_hub long"
     return stored(rows.select("hub", "class", "large", "of_hub", "features", F.expr("own = own_hub"), "own", "own_hub").mapInArrow(run, schema), "stars", SET_BYTES)
 
 
@@ -376,17 +381,25 @@ def _union(found: list[DataFrame]) -> DataFrame:
 def _entries(done: DataFrame) -> DataFrame:
     """Stored: the prefix index over the differences of large groups, an entry for each feature and member.
 
-    Features that a single member has, or only members that link, or only members of one component, can't lead to a pair:
-    they come first, without an entry. The others follow by how many have them, so that a prefix holds the rarest. ``n``
-    members have an entry.
+    Features that the hub lacks come first. Those of them that a single member has, or only members that link, or only
+    members of one component, can't lead to a pair: they lead, without an entry. The others follow by how many have them,
+    so that a prefix holds the rarest. Features that only the hub has come last, in a fixed order, so that they needn't be
+    counted to know how far a prefix reaches: most members lack most of them, and most prefixes end before.
+
+    Of two similar sets only one has what precedes the first feature that both differences have, so the two places of that
+    feature add up to no more than either's ``reach``; members too far back for this leave an entry. Of the rest ``sought``
+    members seek and ``offered`` offer.
     """
-    spread = done.filter("large").select("hub", "class", "linked", "size", "d", "seek", "offer", "own", F.explode("delta").alias("feature"))
+    spread = done.filter("large").select("hub", "class", "linked", "size", "d", "reach", "offer", "own", "outside", F.posexplode("delta").alias("pos", "feature")).withColumn("inside", F.expr("pos >= outside"))
     common = spread.groupBy("hub", "feature").agg(F.count("*").alias("have"), F.min("linked").alias("all_linked"), *_owners()).filter("have > 1 and not all_linked and first_own <> last_own").select("hub", "feature", "have")
     own = Window.partitionBy("hub", "class")
-    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("have", "feature")) - 1
-    placed = spread.join(common, ["hub", "feature"]).withColumn("at", at).withColumns({"seeks": F.col("at") <= F.col("seek"), "offers": F.col("at") <= F.col("offer")}).filter("seeks or offers")
-    ranked = stored(placed.select("hub", "feature", "class", "size", "d", "at", "seeks", "offers", "own"), "placed")
-    met = ranked.groupBy("hub", "feature").agg(F.count("*").alias("n"), F.max("seeks").alias("sought"), F.min_by("class", F.struct("d", "class")).alias("nearest"), *_owners()).filter("n > 1 and sought and first_own <> last_own").select("hub", "feature", "n", "nearest")
+    at = F.when(F.col("inside"), F.col("pos")).otherwise(F.col("outside") - F.count_if(~F.col("inside")).over(own) + F.row_number().over(own.orderBy("inside", "have", "feature")) - 1)
+    placed = spread.join(common, ["hub", "feature"]).withColumn("at", at).withColumns({"seeks": F.expr("not linked and at <= reach"), "offers": F.expr("at <= offer")}).filter("seeks or offers")
+    ranked = stored(placed.select("hub", "feature", "class", "size", "d", "at", "reach", "seeks", "offers", "own"), "placed")
+    first = ranked.groupBy("hub", "feature").agg(F.expr("min(at) filter (where seeks)").alias("first_seek"), F.expr("min(at) filter (where offers)").alias("first_offer"), F.count("*").alias("n"), *_owners()).filter("n > 1 and first_own <> last_own").select("hub", "feature", "first_seek", "first_offer")
+    near = ranked.join(first, ["hub", "feature"]).withColumns({"seeks": F.expr("seeks and at + first_offer <= reach"), "offers": F.expr("offers and at + first_seek <= reach")}).filter("seeks or offers")
+    ranked = stored(near.drop("first_seek", "first_offer"), "near")
+    met = ranked.groupBy("hub", "feature").agg(F.count_if("seeks").alias("sought"), F.count_if("offers").alias("offered"), F.count("*").alias("n"), F.min_by("class", F.struct("d", "class")).alias("nearest"), *_owners()).filter("n > 1 and sought > 0 and offered > 0 and first_own <> last_own").select("hub", "feature", "sought", "offered", "nearest")
     return stored(ranked.join(met, ["hub", "feature"]), "entries")
 
 
@@ -451,8 +464,8 @@ def links(rows: DataFrame, docs: DataFrame, words: int, p: int, q: int, text_col
         crowd = False
         if done.filter("large and not linked").limit(1).count():
             entries = _entries(done)
-            pairs = pairs.unionByName(_met(entries.filter(f"n <= {CROWD}"), p, q))
-            crowded = entries.filter(f"n > {CROWD}").select(F.xxhash64("hub", "feature").alias("entry"), F.col("nearest").alias("hub"), "class")
+            pairs = pairs.unionByName(_met(entries.filter(f"least(sought, offered) <= {CROWD}"), p, q))
+            crowded = entries.filter(f"least(sought, offered) > {CROWD}").select(F.xxhash64("hub", "feature").alias("entry"), F.col("nearest").alias("hub"), "class")
             crowd = crowded.limit(1).count() > 0
         found.append(_verified(pairs.distinct(), sets, p, q))
         if not crowd:
